@@ -7,6 +7,7 @@ one machine.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,3 +40,13 @@ def delete_shared(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffle files of finished, materialised stages now.
+
+    It drops them when the driver's JVM collects their handles, which it otherwise may not do for
+    half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
