@@ -45,9 +45,9 @@ def classifier(name: str, n_rows: int, seed: int = 2026):
     """``logreg``: multinomial with L2 of 1 / n, which is C = 1 under balanced weights.  ``svm``: one-vs-rest hinge loss, close
     to but not equal to a squared-hinge machine."""
     if name == "logreg":
-        return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / n_rows, elasticNetParam=0.0, standardization=False, maxIter=200, family="multinomial")
+        return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / n_rows, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-4, family="multinomial")
     if name == "svm":
-        return OneVsRest(classifier=LinearSVC(regParam=1.0 / n_rows, standardization=False, maxIter=100), featuresCol="features", labelCol="label", weightCol="weight")
+        return OneVsRest(classifier=LinearSVC(regParam=1.0 / n_rows, standardization=False, maxIter=100, tol=1e-4), featuresCol="features", labelCol="label", weightCol="weight")
     raise ValueError(f"no classifier {name}")
 
 
