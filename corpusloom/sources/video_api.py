@@ -27,9 +27,9 @@ def pages(request: Request, method: str, params: dict, most: int, page: int) ->
             reply = request(method, params | {"maxResults": min(page, most - got)} | ({"pageToken": token} if token else {}))
         except OSError:  # comments disabled, video gone, quota spent
             return
-        for item in reply.get("items", []):
-            yield item
-            got += 1
+        items = reply.get("items", [])[: most - got]
+        yield from items
+        got += len(items)
         token = reply.get("nextPageToken")
         if not token:
             return
