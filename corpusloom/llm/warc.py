@@ -1,7 +1,7 @@
 """WARC records in ZIP packages, written from a table of pages and read back by ranges.
 
-A package is a ZIP archive of stored members: ``archive/data.warc``, ``indexes/index.cdxj`` and
-``datapackage.json``.  The reader parses the end record, the ZIP64 end record and the central directory,
+A package is a ZIP archive of stored members: ``archive/data.warc.gz``, in which each record is a gzip member of
+its own, ``indexes/index.cdxj`` and ``datapackage.json``.  The reader parses the end record, the ZIP64 end record and the central directory,
 finds where a stored member's bytes begin from its local header, reads the index, and then reads
 each record by its range of the package.  Nothing is extracted.
 
@@ -13,6 +13,7 @@ the payload's size.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import re
@@ -30,7 +31,8 @@ from .shared import materialise, shared_path
 
 PACKAGE_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+LEVEL = 4
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = re.compile(r"<urn:page:(-?\d+)>")
 
@@ -92,7 +94,7 @@ class PackageWriter:
         self.data, self.at, self.lines = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True), 0, []
 
     def add(self, page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> None:
-        raw = make_record(page_id, url, payload, refers_to)
+        raw = gzip.compress(make_record(page_id, url, payload, refers_to), LEVEL, mtime=0)
         self.data.write(raw)
         self.lines.append((page_id, self.at, len(raw)))
         self.at += len(raw)
@@ -172,7 +174,7 @@ def read_package(f) -> Iterator[dict]:
     entries = [json.loads(x.partition(b" ")[2]) for x in archive._read(at, length).splitlines()]
     ranges = RangeReader(f)
     for e in sorted(entries, key=lambda e: e["offset"]):
-        yield parse_record(ranges.read(base + e["offset"], e["length"]))
+        yield parse_record(gzip.decompress(ranges.read(base + e["offset"], e["length"])))
 
 
 def write_packages(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
