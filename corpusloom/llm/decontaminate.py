@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, shingle_strings, shingles, utf8_parts, words
+from .shared import without_ids
 
 NGRAM = 5
 CONTAINMENT = 0.8
@@ -174,5 +175,4 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, conta
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; rows without doc_id stay."""
-    hit = contained_items(docs, benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    return without_ids(docs, contained_items(docs, benchmark, **options).select("doc_id").distinct())

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .blocks import chunks, mix, powers, shingles, utf8_parts, words
 from .graph import connected_components
-from .shared import materialise
+from .shared import materialise, without_ids
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -312,5 +312,4 @@ def keep_one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     Rows without doc_id stay: nothing links them to others.
     """
     classes = ngram_jaccard_join(docs, **options)
-    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without_ids(docs, classes.where("class_id <> doc_id").select("doc_id"))

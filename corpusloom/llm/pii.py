@@ -30,6 +30,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 _MARK, _OTHER = "\ue000", "\ue001"
 BASE = ("email", "ip", "card", "phone")
 FURTHER = ("name", "ssn", "iban", "local")
@@ -46,7 +48,7 @@ PATTERNS = {
     "name": r"(?<![\p{L}\p{N}])(?:\p{Lu}[\p{Ll}]{1,20}+ ){1,2}\p{Lu}[\p{Ll}]{1,20}+(?![\p{L}\p{N}])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
-    "local": r"(?<![0-9+(). -])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "local": r"(?<![0-9+(.-])(?<![0-9)][ .-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
 }
 #: Cheap tests without which a kind's pattern isn't tried.
 _NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
@@ -81,8 +83,8 @@ def _matches(text: Column, kind: str) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.lit("").alias("last"), empty.alias("out"))
 
     def step(state: Column, part: Column) -> Column:
-        here = F.struct(state.at.alias("start"), (state.at + F.length(part)).alias("end"), part.alias("text"), F.right(state.last, F.lit(_NEAR)).alias("before"))
-        return F.struct((state.at + F.length(part)).alias("at"), (~state.odd).alias("odd"), part.alias("last"), F.when(state.odd, F.array_append(state.out, here)).otherwise(state.out).alias("out"))
+        here = F.struct(state.at.alias("start"), (state.at + F.length(part)).alias("end"), part.alias("text"), state.last.alias("before"))
+        return F.struct((state.at + F.length(part)).alias("at"), (~state.odd).alias("odd"), F.right(F.concat(state.last, part), F.lit(_NEAR)).alias("last"), F.when(state.odd, F.array_append(state.out, here)).otherwise(state.out).alias("out"))
 
     found = F.aggregate(_marked(text, PATTERNS[kind]), start, step, lambda s: s.out)
     guard = text.contains(_NEEDS[kind]) if kind in _NEEDS else text.rlike(PATTERNS[kind])
@@ -160,11 +162,11 @@ def _judged(text: Column, k: int, kind: str) -> Column:
     return F.transform(F.filter(_matches(text, kind), lambda m: _valid(kind, m.text)), judged)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_found``: all candidates, valid base matches included, with their votes and features."""
+def candidates(docs: DataFrame, column: str = "found") -> DataFrame:
+    """``docs`` with ``column``: all candidates, valid base matches included, with their votes and features."""
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _MARK, _OTHER)
     lists = [_judged(text, k, kind) for k, kind in enumerate(KINDS)]
-    return docs.withColumn("_found", F.concat(*lists))
+    return docs.withColumn(column, F.concat(*lists))
 
 
 @dataclass(frozen=True)
@@ -218,7 +220,7 @@ def _total(of: str, where: str = "true") -> str:
 def fit(docs: DataFrame) -> SpanModel:
     """Reliabilities by EM and the final classifier, from all candidates of ``docs``; without any, nothing is learnt."""
     c = F.col("c")
-    counted = candidates(docs).select(F.explode("_found").alias("c")).groupBy(*(c[n].alias(n) for n in ("kind", *_FEATURES))).agg(F.count("*").cast("double").alias("n"))
+    counted = candidates(docs.select("text")).select(F.explode("found").alias("c")).groupBy(*(c[n].alias(n) for n in ("kind", *_FEATURES))).agg(F.count("*").cast("double").alias("n"))
     one = counted.agg(F.sort_array(F.collect_list(F.struct("kind", *_FEATURES, "n"))).alias("p"))
     vote = "element_at(array(y.x.form, y.x.known, y.x.near), j + 1)"
     sql = _FIT.format(
@@ -251,11 +253,11 @@ def fit(docs: DataFrame) -> SpanModel:
     return SpanModel({k: prior + log_odds.get(("kind", k), 0.0) for k in range(len(KINDS))}, {k: v for k, v in log_odds.items() if k[0] != "kind"}, reliability)
 
 
-def find_spans(docs: DataFrame, model: SpanModel | None = None, keep: float = KEEP) -> DataFrame:
-    """``docs`` with ``spans``: array<struct<start,kind,end,base>> by start, then kind in the order of ``KINDS``.
+def find_spans(docs: DataFrame, model: SpanModel | None = None, keep: float = KEEP, column: str = "spans") -> DataFrame:
+    """``docs`` with ``column``: array<struct<start,kind,end,base>> by start, then kind in the order of ``KINDS``.
 
     Positions are code points, end exclusive.  Null texts count as empty and have no spans; rows are kept
-    as they are, repeated or not, and other columns pass unchanged (a column named ``spans`` is replaced).
+    as they are, repeated or not, and other columns pass unchanged (one of that name is replaced).
     """
     model = model or fit(docs)
     least = math.log(keep / (1 - keep))
@@ -269,9 +271,10 @@ def find_spans(docs: DataFrame, model: SpanModel | None = None, keep: float = KE
             out = out + F.when(s[name] == value, weight).otherwise(0.0)
         return out
 
-    kept = F.filter("_found", lambda s: (s.kind < len(BASE)) | (total(s) >= least))
+    found = fresh(docs, "found")
+    kept = F.filter(found, lambda s: (s.kind < len(BASE)) | (total(s) >= least))
     spans = F.array_sort(F.transform(kept, lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end"), (s.kind < len(BASE)).alias("base"))))
-    return candidates(docs).withColumn("spans", spans).drop("_found")
+    return candidates(docs, found).withColumn(column, spans).drop(found)
 
 
 def listed(spans: Column) -> Column:
@@ -295,8 +298,9 @@ def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
         text = F.concat(state.out, F.col("text").substr(state.at + 1, F.greatest(s.start - state.at, F.lit(0))), F.when(fresh, F.element_at(name, s.kind + 1)).otherwise(""))
         return F.struct(F.greatest(state.at, s.end).alias("at"), text.alias("out"))
 
-    clean = F.aggregate("spans", start, step, lambda s: F.concat(s.out, F.col("text").substr(s.at + 1, F.length("text"))))
-    out = find_spans(docs, model).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    spans = fresh(docs, "spans")
+    clean = F.aggregate(spans, start, step, lambda s: F.concat(s.out, F.col("text").substr(s.at + 1, F.length("text"))))
+    out = find_spans(docs, model, column=spans).withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*columns)

@@ -50,3 +50,18 @@ def let_go(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with marks behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose key is not in the one column of ``ids``, with all their columns; null keys stay."""
+    name = fresh(df, "gone")
+    gone = ids.toDF(name)
+    return df.join(gone, df[key] == gone[name], "left_anti")

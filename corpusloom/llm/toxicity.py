@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, mix, powers, prefix_hash, utf8_parts, word_mask
-from .shared import materialise
+from .shared import materialise, without_ids
 
 MOST_PER_CLASS = 4000
 MOST_FEATURES = 2048
@@ -262,5 +262,5 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose document scores under ``threshold``, with all their columns; rows without doc_id stay."""
-    gone = score(docs, fit(docs, labels), threshold).where((F.col("score") >= threshold) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_toxic"), "left_anti")
+    gone = score(docs, fit(docs, labels), threshold).where((F.col("score") >= threshold) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return without_ids(docs, gone)
