@@ -112,4 +112,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB forms, where SQL can express an operator on whole tables."""
-    return {}
+    from . import oracle
+
+    return {
+        "op4_ngram_jaccard_join": oracle.NGRAM_JOIN,
+        "op6_suffix_dedup": oracle.SUFFIX_DEDUP,
+        "op7_benchmark_decontamination": oracle.DECONTAMINATION,
+        "op8_warc": oracle.WARC,
+    }
