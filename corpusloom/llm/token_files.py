@@ -41,7 +41,8 @@ DICTIONARY_BYTES = 64 << 10
 #: doc_id, and at most so many bytes of each; it changes the size of files, never their content.
 SAMPLE_DOCUMENTS = 500
 SAMPLE_BYTES = 32 << 10
-MEMO_WORDS = 250_000
+MEMO_WORDS = 450_000
+MEMO_STEMS = 200_000
 #: White space of Python that the tokeniser doesn't know as such.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -49,8 +50,8 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 class WordEncoder:
     """Ids of whole texts by a ``tokenizers`` file whose normaliser and splitter never cross white space.
 
-    Texts are cut at white space; words not met before go to the library together, as one
-    pre-split sequence, and a bounded memo keeps their ids.
+    Texts are cut at white space, and bounded memos keep the ids of words and stems.  Of words not met before, those of
+    plain letters go to the library's model, and all others through the library whole, as one pre-split sequence.
     """
 
     def __init__(self, definition: str):
@@ -61,25 +62,90 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(MEMO_WORDS)
+        self.memo, self.old = {}, {}
+        self.stems = Memo(MEMO_STEMS)
+        # What the splitter makes of each small letter: a word of such letters is one piece, which the model takes as it is.
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {ord(c): split(c)[0][0] for c in map(chr, range(256)) if c.isalpha() and c == c.lower()}
+        self.marks = {c: self._whole(c) for c in ".,!?;:"}
+        # Only for files that treat plain words so.
+        probe = ["the", "Thé", "word.", "Ünd,", "naïveté!", "zzyzxß"]
+        known: dict[str, bytes] = {}
+        self.plain = not self._plain_words(probe, known) and all(known[w] == self._whole(w) for w in probe)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain_words(self, words: list[str], known: dict[str, bytes]) -> list[str]:
+        """Add the ids of words of Latin-1 letters, with at most one mark behind them, to ``known``; return the other words.
+
+        Capitals and marks make many forms of one stem, and only stems go to the model.
+        """
+        marks, stems, letters, tokenize, pack = self.marks, self.stems, self.letters, self.tokenizer.model.tokenize, struct.pack
+        rest = []
+        for w in words:
+            mark = marks.get(w[-1])
+            stem = w if mark is None else w[:-1]
+            if not stem.isalpha():
+                rest.append(w)
+                continue
+            if stem.isascii():
+                stem = spelled = stem.lower()
+            elif max(stem) <= "ÿ":
+                stem = stem.lower()
+                spelled = stem.translate(letters)
+            else:
+                rest.append(w)
+                continue
+            found = stems.new.get(stem)
+            if found is None:
+                found = stems.old.get(stem)
+                if found is None:
+                    ids = [t.id for t in tokenize(spelled)]
+                    found = pack(f"<{len(ids)}I", *ids)
+                if len(stem) <= 64:
+                    stems.put(stem, found)
+            known[w] = found if mark is None else found + mark
+        return rest
+
+    def _learn(self, words: list[str]) -> None:
+        if self.plain:
+            words = self._plain_words(words, self.memo)
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(done.ids, "<u4").tobytes()
+            cut = (np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(part) + 1)) * 4).tolist()
+            self.memo.update(zip(part, [raw[i:j] for i, j in zip(cut, cut[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special ids."""
         split = [None if any(c in t for c in _ODD) else t.split() for t in texts]
-        words = {w for s in split if s for w in s}
-        known = {w: found for w in words if (found := self.memo.get(w)) is not None}
-        new = list(words - known.keys())
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(done.ids, "<u4"), np.array(done.word_ids, np.int64)
-            cut = np.searchsorted(owner, np.arange(len(part) + 1))
-            for i, w in enumerate(part):
-                known[w] = found = ids[cut[i] : cut[i + 1]].tobytes()
-                if len(w) < 64:
-                    self.memo.put(w, found)
-        get = known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+        words = set().union(*(s for s in split if s))
+        new = words - self.memo.keys()
+        again = new & self.old.keys()
+        self.memo.update((w, self.old[w]) for w in again)
+        self._learn(list(new - again))
+        get = self.memo.__getitem__
+        out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+        for w in new:
+            if len(w) > 64:
+                del self.memo[w]
+        if len(self.memo) > MEMO_WORDS:  # what is met again moves back from the older half
+            self.memo, self.old = {}, self.memo
+        return out
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(definition: str) -> WordEncoder:
+    """The worker's own encoder of a definition: its memo outlives a task."""
+    key = hashlib.sha1(definition.encode()).hexdigest()
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordEncoder(definition)
+    return _encoders[key]
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -193,7 +259,7 @@ def write_tokens(docs: DataFrame, definition: str, folder: str | None = None, en
                 part = batch.slice(k, 512)
                 if writer is None:
                     path = f"{folder}/shard-{uuid.uuid4().hex}"
-                    encoder, writer = WordEncoder(shared.value[0]), ShardWriter(path, shared.value[1])
+                    encoder, writer = encoder_of(shared.value[0]), ShardWriter(path, shared.value[1])
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                     writer.add(doc_id, ids + tail)
         if writer is not None:
