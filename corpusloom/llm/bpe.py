@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 _MASK = (1 << 64) - 1
 MEMO_PIECES = 250_000
-MEMO_TOKENS = 250_000
+MEMO_TOKENS = 200_000
+MEMO_PAIRS = 100_000
 #: Spaces beside other white space keep a text from being cut at its spaces.
 _UNEVEN = regex.compile(r" \s|\s ")
 
@@ -121,25 +122,29 @@ class BytePairCodec:
     def _ready(self) -> None:
         self._split = regex.compile(self.pattern)
         self._bytes = [self.rank(bytes([b])) for b in range(256)]
+        self._two = [-1] * 65536
+        for token, r in zip(self.tokens, self.ranks):
+            if len(token) == 2:
+                self._two[token[0] << 8 | token[1]] = r
         self._flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         length = np.array([len(t) for t in self.tokens])
         self._length, self._place = np.zeros(max(self.ranks) + 1, np.int64), np.zeros(max(self.ranks) + 1, np.int64)
         self._length[self.ranks], self._place[self.ranks] = length, np.cumsum(length) - length
         self._pieces = Memo(MEMO_PIECES)
         self._pretokens = Memo(MEMO_TOKENS)
-        self._pairs = Memo(MEMO_TOKENS)
+        self._pairs = Memo(MEMO_PAIRS)
 
     def rank(self, word: bytes) -> int:
         """The rank of ``word``, or -1 if it is no token: one probe of the perfect hash."""
         at = self.hash.position(word)
         return self.ranks[at] if self.tokens[at] == word else -1
 
-    def _pair(self, word: bytes) -> int:
-        found = self._pairs.get(word)
+    def _pair(self, key: int, word: bytes) -> int:
+        """The rank of ``word``, which joins the parts whose ids ``key`` packs."""
+        found = self._pairs.get(key)
         if found is None:
             found = self.rank(word)
-            if len(word) < 64:
-                self._pairs.put(word, found)
+            self._pairs.put(key, found)
         return found
 
     def merge(self, word: bytes) -> list[int]:
@@ -152,16 +157,9 @@ class BytePairCodec:
         bits = n.bit_length()
         low = (1 << bits) - 1
         stop, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ids = [self._bytes[b] for b in word]
-        get, pair = self._pairs.new.get, self._pair
-        heap = []
-        for i in range(n - 1):
-            two = word[i : i + 2]
-            r = get(two)
-            if r is None:
-                r = pair(two)
-            if r >= 0:
-                heap.append((r << bits | i) << bits | i + 2)
+        ids = list(map(self._bytes.__getitem__, word))
+        get, pair, two = self._pairs.new.get, self._pair, self._two
+        heap = [(r << bits | i) << bits | i + 2 for i, (a, b) in enumerate(zip(word, word[1:])) if (r := two[a << 8 | b]) >= 0]
         heapify(heap)
         while heap:
             entry = heappop(heap)
@@ -169,22 +167,22 @@ class BytePairCodec:
             j = stop[i]
             if not j or j >= n or stop[j] != end:  # a part of it has merged since
                 continue
-            ids[i] = entry >> bits >> bits
+            own = ids[i] = entry >> bits >> bits
             stop[i], stop[j] = end, 0
             if end < n:
                 before[end] = i
-                joined = word[i : stop[end]]
-                r = get(joined)
+                key = own << 32 | ids[end]
+                r = get(key)
                 if r is None:
-                    r = pair(joined)
+                    r = pair(key, word[i : stop[end]])
                 if r >= 0:
                     heappush(heap, (r << bits | i) << bits | stop[end])
             h = before[i]
             if h >= 0:
-                joined = word[h:end]
-                r = get(joined)
+                key = ids[h] << 32 | own
+                r = get(key)
                 if r is None:
-                    r = pair(joined)
+                    r = pair(key, word[h:end])
                 if r >= 0:
                     heappush(heap, (r << bits | h) << bits | end)
         return [k for k, end in zip(ids, stop) if end]
