@@ -32,9 +32,10 @@ LEAST_DOCUMENTS = 5
 LEAST_RATIO = 30.0
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
-STEPS = 400
-_PENALTY = 2e-4
+STEPS = 500
+_PENALTY = 3e-5
 _START = -7.0
+_CHUNK_BYTES = 1 << 18  # a word has up to five features, of 16 bytes each and more in passing
 
 
 @dataclass
@@ -94,7 +95,7 @@ def _features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _pieces(batch: pa.RecordBatch):
     data, at = utf8_parts(batch.column("text"))
-    for first, last in chunks(at):
+    for first, last in chunks(at, _CHUNK_BYTES):
         own = at[first : last + 1] - at[first]
         yield first, last, fold_case(data[at[first] : at[last]]), own
 
