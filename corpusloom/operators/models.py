@@ -52,6 +52,7 @@ def classifier(name: str, n_rows: int, seed: int = 2026):
 
 
 CLASSIFIERS = ("logreg", "svm")
+ROWS_PER_TASK = 5000
 
 
 def fit_predict(train: DataFrame, test: DataFrame, clf: str, key: str = "comment_id", target: str = "gold") -> DataFrame:
@@ -60,7 +61,8 @@ def fit_predict(train: DataFrame, test: DataFrame, clf: str, key: str = "comment
     number = reduce(lambda c, i: c.when(F.col(target) == labels[i], float(i)), range(1, len(labels)), F.when(F.col(target) == labels[0], 0.0))
     rows = balanced_weights(train.withColumn("label", number), target).select("features", "label", "weight").cache()
     try:
-        model = classifier(clf, rows.count()).fit(rows)
+        n = rows.count()
+        model = classifier(clf, n).fit(rows.coalesce(max(1, n // ROWS_PER_TASK)))  # each step of a fit is a job over these
     finally:
         rows.unpersist()
     name = F.array(*(F.lit(x) for x in labels))
