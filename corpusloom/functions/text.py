@@ -6,7 +6,7 @@ underscore by property, as the ASCII classes of Java's regular expressions diffe
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .profiles import KAZAKH_RUSSIAN, LanguagePair
@@ -119,3 +119,30 @@ def density_bucket(a: Column, b: Column, empty: str = "unknown") -> Column:
 def flat_json(text: Column) -> Column:
     """The text on one line, as a JSON string."""
     return F.regexp_extract(F.to_json(F.struct(squeeze(text).alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+
+
+def wrap(text: Column, width: int) -> Column:
+    """Lines of whole words, each as long as ``width`` allows; a longer word has a line of its own."""
+    start = F.struct(F.lit("").alias("line"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, word: Column) -> Column:
+        joined = F.when(state.line == "", word).otherwise(F.concat_ws(" ", state.line, word))
+        full = (state.line != "") & (F.length(joined) > width)
+        return F.struct(F.when(full, word).otherwise(joined).alias("line"), F.when(full, F.array_append(state.out, state.line)).otherwise(state.out).alias("out"))
+
+    words_ = F.filter(F.split(squeeze(text), " "), lambda w: w != "")
+    return F.aggregate(words_, start, step, lambda s: F.when(s.line == "", s.out).otherwise(F.array_append(s.out, s.line)))
+
+
+def register(spark: SparkSession, pair: LanguagePair = KAZAKH_RUSSIAN) -> None:
+    """SQL functions of the session: anonymize, norm_key, token_key, script_of and density_bucket.  They are SQL bodies, which the planner inlines."""
+    token = pair.token
+    bodies = {
+        "anonymize(t STRING) RETURNS STRING": f"trim(regexp_replace(regexp_replace(regexp_replace(t, r'(?U){URL}', '<URL>'), r'{MENTION}', '<USER>'), r'(?U)\\s+', ' '))",
+        "norm_key(t STRING) RETURNS STRING": r"md5(trim(regexp_replace(regexp_replace(lower(t), r'(?U)[^\p{L}\p{N}_\s]', ''), r'(?U)\s+', ' ')))",
+        "token_key(t STRING) RETURNS STRING": f"CASE WHEN size(regexp_extract_all(t, '{token}', 0)) >= 3 THEN md5(array_join(array_sort(transform(regexp_extract_all(t, '{token}', 0), w -> lower(w))), ' ')) END",
+        "script_of(t STRING) RETURNS STRING": f"CASE WHEN t RLIKE '[{pair.main_class}]' THEN '{pair.script_names[0]}' WHEN t RLIKE '[{pair.other_class}]' THEN '{pair.script_names[1]}' ELSE 'none' END",
+        "density_bucket(a BIGINT, b BIGINT) RETURNS STRING": "CASE WHEN a + b = 0 THEN 'unknown' WHEN a = 0 OR b = 0 THEN 'mono' WHEN least(a, b) / (a + b) <= 0.2 THEN 'low' WHEN least(a, b) / (a + b) <= 0.4 THEN 'med' ELSE 'high' END",
+    }
+    for head, body in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

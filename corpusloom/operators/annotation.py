@@ -156,8 +156,10 @@ def merge(sheets: DataFrame, clean: DataFrame, manifest: DataFrame, sentiments=S
 # --- prompts and replies ----------------------------------------------------------------------------
 
 
-def prompts(sheets: DataFrame, instructions: str, per_prompt: int = 40, include_annotated: bool = False) -> DataFrame:
-    """``prompt, n, ids, body`` for rows to annotate, ``per_prompt`` at a time in the order of file and line."""
+def prompts(sheets: DataFrame, instructions: str, per_prompt: int = 40, include_annotated: bool = False, only: tuple[str, ...] = ()) -> DataFrame:
+    """``prompt, n, ids, body`` for rows to annotate, ``per_prompt`` at a time in the order of file and line; of the files ``only``, if any are given."""
+    if only:
+        sheets = sheets.where(F.col("file").isin(*only))
     todo = sheets.where(F.trim(F.coalesce("comment_id", F.lit(""))) != "")
     if not include_annotated:
         todo = todo.where(F.trim(F.coalesce("sentiment", F.lit(""))) == "")

@@ -40,6 +40,12 @@ def confusions(pairs: DataFrame, top: int = 5) -> DataFrame:
     return wrong.orderBy(F.desc("n"), "x", "y").limit(top)
 
 
+def disagreements(pairs: DataFrame, sheet: DataFrame, n: int = 40) -> DataFrame:
+    """The first ``n`` disagreements by id, with the start of the text."""
+    wrong = pairs.where("va <> vb").join(sheet.select("comment_id", F.left("text", F.lit(70)).alias("text")), "comment_id", "left")
+    return wrong.orderBy("comment_id").limit(n)
+
+
 def distribution(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
     """``value, n, share`` for each value, in every case."""
     got = rows.agg(F.count("*").alias("_all"), *(F.count_if(F.col(column) == v).alias(v) for v in values))

@@ -112,6 +112,15 @@ def skipgram(docs: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN, dim: int = 10
     return model.getVectors().select("word", F.expr("vector").alias("vector"))
 
 
+def cached_vectors(docs: DataFrame, folder: str, **options) -> DataFrame:
+    """``skipgram`` vectors from ``folder``, trained and written there if it holds none."""
+    spark = docs.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        skipgram(docs, **options).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def encoder_vectors(embeddings: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``key, vector``: precomputed vectors of a frozen encoder, scaled to unit length."""
     return embeddings.select(key, unit(F.col(column)).alias("vector"))

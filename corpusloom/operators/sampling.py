@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .density import DensityModel, measure
+
 SEED = 2026
 DENSITY_ORDER = ("high", "med", "low", "mono")
 SCREEN_ORDER = ("high", "med", "low", "unknown", "mono")
@@ -141,3 +143,14 @@ def spot_check(accepted: DataFrame, rate: float = 0.12, seed: int = SEED) -> Dat
     high = accepted.where("confidence = 'high'")
     n = round(high.count() * rate)
     return accepted.where("confidence = 'low'").unionByName(high.orderBy(shuffled("id", seed), "id").limit(n))
+
+
+def pilot_passes(batch: DataFrame, seed: int = 42) -> DataFrame:
+    """The batch with two orders, ``pass1`` and ``pass2``: the same rows, to be annotated twice."""
+    return batch.withColumns({f"pass{k + 1}": F.row_number().over(Window.orderBy(shuffled("comment_id", seed + k), "comment_id")) for k in range(2)})
+
+
+def strata_pool(clean: DataFrame, model: DensityModel) -> DataFrame:
+    """The clean corpus (seq, text, ...) with measured density, ``measured_base_lang`` and ``minority_share``; no evidence counts as mono."""
+    measured = measure(clean.select("seq", "text"), model).select("seq", F.when(F.col("density") == "", "mono").otherwise(F.col("density")).alias("density"), F.col("base_lang").alias("measured_base_lang"), "minority_share")
+    return clean.join(measured, "seq")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,18 @@ def write_prompts(prompted: DataFrame, folder: str) -> None:
 
 def write_videos(videos: DataFrame, folder: str) -> None:
     write_csv(videos, folder, (F.desc("comment_count"), "video_id"))
+
+
+def replace(df: DataFrame, folder: str, format: str = "parquet", **options) -> None:
+    """Put ``df`` in the place of ``folder``, which it may have been read from: written beside it, then renamed."""
+    spark = df.sparkSession
+    fresh, old = f"{folder}.new-{uuid.uuid4().hex}", f"{folder}.old-{uuid.uuid4().hex}"
+    df.write.format(format).options(**options).save(fresh)
+    jvm = spark.sparkContext._jvm
+    paths = {name: jvm.org.apache.hadoop.fs.Path(name) for name in (folder, fresh, old)}
+    system = paths[folder].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(paths[folder]) and not system.rename(paths[folder], paths[old]):
+        raise OSError(f"{folder} can't be moved aside")
+    if not system.rename(paths[fresh], paths[folder]):
+        raise OSError(f"{fresh} can't be renamed")
+    system.delete(paths[old], True)

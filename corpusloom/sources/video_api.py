@@ -90,6 +90,11 @@ def with_statistics(videos: DataFrame, statistics: DataFrame, min_comments: int
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("comment_count", "view_count")}).where(F.col("comment_count") >= min_comments)
 
 
+def comments_available(videos: DataFrame) -> DataFrame:
+    """One row: the number of comments that the videos have."""
+    return videos.agg(F.coalesce(F.sum("comment_count"), F.lit(0)).alias("comments"))
+
+
 class _Video(InputPartition):
     def __init__(self, video_id: str):
         self.video_id = video_id
