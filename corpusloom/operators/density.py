@@ -107,6 +107,11 @@ class DensityModel:
         params = {"ngram": 3, "smooth": SMOOTH, "min_freq": MIN_FREQ, "llr_margin": LLR_MARGIN}
         spark.createDataFrame([params]).write.parquet(f"{folder}/params")
 
+    def release(self) -> None:
+        """Give back what ``assemble`` keeps; the model's tables are then computed anew where they are used."""
+        for table in (self.lexicon, self.chars, self.stripped):
+            table.unpersist()
+
     @classmethod
     def load(cls, spark, folder: str, pair: LanguagePair = KAZAKH_RUSSIAN) -> DensityModel:
         return cls(*(spark.read.parquet(f"{folder}/{n}") for n in ("lexicon", "chars", "stripped")), pair)
@@ -125,14 +130,25 @@ def build_lexicon(rows: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN, min_docu
     sizes = {r.side: r["count"] for r in sided.groupBy("side").count().collect()}  # three rows
     if min(sizes.get(pair.a, 0), sizes.get(pair.b, 0)) < min_documents:
         raise ValueError("too few monolingual documents to bootstrap from")
-    freq = word_frequencies(sided, pair)
+    freq = word_frequencies(sided, pair).persist()
     seeds = seed_words(freq, pair)
     counts = {r.lang: r["count"] for r in seeds.groupBy("lang").count().collect()}
     if min(counts.get(pair.a, 0), counts.get(pair.b, 0)) < min_seeds:
         raise ValueError("not enough seed words to fit the models")
-    chars = char_model(seeds, pair)
-    lexicon = resolve(freq, seeds, chars, pair)
-    return DensityModel(lexicon, chars, stripped_forms(lexicon, pair), pair)
+    return assemble(freq, pair)
+
+
+def assemble(freq: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN) -> DensityModel:
+    """The model of a table of word frequencies.
+
+    Its tables grow with the vocabulary, not with the corpus, and are kept once computed (in memory, then on disk), so that
+    the texts are read once for them; a lost executor's part is computed again.
+    """
+    freq = freq.persist()
+    seeds = seed_words(freq, pair).persist()
+    chars = char_model(seeds, pair).persist()
+    lexicon = resolve(freq, seeds, chars, pair).persist()
+    return DensityModel(lexicon, chars, stripped_forms(lexicon, pair).persist(), pair)
 
 
 def resolve(freq: DataFrame, seeds: DataFrame, chars: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN) -> DataFrame:

@@ -190,16 +190,12 @@ def char_lm_counts(spark, sf_dir):
 
 @query(O.sql(O.chars() + ", asked AS (SELECT word FROM freq)," + O.llr("asked", "scored"), "SELECT word, round(llr, 6) AS llr FROM scored"))
 def word_llr(spark, sf_dir):
-    freq = _frequencies(spark, sf_dir)
+    freq = _frequencies(spark, sf_dir).persist()
     return D.word_llr(freq.select("word"), D.char_model(D.seed_words(freq, PAIR), PAIR)).select("word", six("llr"))
 
 
 def _model(spark, sf_dir) -> D.DensityModel:
-    freq = _frequencies(spark, sf_dir)
-    seeds = D.seed_words(freq, PAIR)
-    chars = D.char_model(seeds, PAIR)
-    lexicon = D.resolve(freq, seeds, chars, PAIR)
-    return D.DensityModel(lexicon, chars, D.stripped_forms(lexicon, PAIR), PAIR)
+    return D.assemble(_frequencies(spark, sf_dir), PAIR)
 
 
 @query(O.sql(O.measured(), "SELECT * FROM lexicon"))
