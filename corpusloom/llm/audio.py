@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks
-from .shared import materialise
+from .shared import materialise, small_batches
 
 RATE, FRAME, HOP = 4000, 128, 32
 WIDTH = 16
@@ -216,6 +216,7 @@ def fingerprint(recordings: DataFrame) -> DataFrame:
                 packed = [codes[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.record_batch([batch.column("doc_id").slice(first, last - first), pa.array(packed, pa.binary())], ["doc_id", "codes"])
 
+    small_batches(recordings.sparkSession)
     return recordings.select("doc_id", "pcm").mapInArrow(run, "doc_id long, codes binary")
 
 

@@ -6,8 +6,8 @@ the merges: its bytes are a linked list, and a heap yields the adjacent pair of
 leftmost first, until no pair is a token.  The cost is n log n in the length of a
 pre-token, so texts of one unbroken run are no special case.
 
-Pre-tokens repeat, so each worker keeps bounded memos from space-led pieces of text and from
-pre-tokens to their ids, and of pairs to their ranks; they change no result.
+Pre-tokens repeat, so each worker keeps a bounded memo from space-led pieces of text and from pre-tokens to
+their ids, and one of pairs to their ranks; they change no result.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 _MASK = (1 << 64) - 1
-MEMO_PIECES = 250_000
-MEMO_TOKENS = 200_000
+MEMO_PIECES = 300_000
 MEMO_PAIRS = 100_000
 #: Spaces beside other white space keep a text from being cut at its spaces.
 _UNEVEN = regex.compile(r" \s|\s ")
@@ -131,7 +132,6 @@ class BytePairCodec:
         self._length, self._place = np.zeros(max(self.ranks) + 1, np.int64), np.zeros(max(self.ranks) + 1, np.int64)
         self._length[self.ranks], self._place[self.ranks] = length, np.cumsum(length) - length
         self._pieces = Memo(MEMO_PIECES)
-        self._pretokens = Memo(MEMO_TOKENS)
         self._pairs = Memo(MEMO_PAIRS)
 
     def rank(self, word: bytes) -> int:
@@ -188,17 +188,20 @@ class BytePairCodec:
         return [k for k, end in zip(ids, stop) if end]
 
     def _pretoken(self, text: str) -> bytes:
-        found = self._pretokens.new.get(text) or self._pretokens.get(text)
+        found = self._pieces.get(text)
         if found is None:
             raw = text.encode("utf-8")
             whole = self.rank(raw)
             found = pack(f"<{len(ids)}i", *ids) if whole < 0 and (ids := self.merge(raw)) else pack("<i", whole)
             if len(text) < 64:
-                self._pretokens.put(text, found)
+                self._pieces.put(text, found)
         return found
 
     def _piece(self, text: str) -> bytes:
-        found = b"".join(map(self._pretoken, self._split.findall(text)))
+        parts = self._split.findall(text)
+        if len(parts) == 1:  # a pre-token, which the same memo keeps
+            return self._pretoken(text)
+        found = b"".join(map(self._pretoken, parts))
         if len(text) < 64:
             self._pieces.put(text, found)
         return found
@@ -248,6 +251,7 @@ def encode(docs: DataFrame, codec: BytePairCodec) -> DataFrame:
     stay repeated; columns other than ``doc_id`` and ``text`` are ignored.  Marks of special
     tokens are ordinary text.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(codec)  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

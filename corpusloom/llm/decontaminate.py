@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, shingle_strings, shingles, utf8_parts, words
-from .shared import without_ids
+from .shared import small_batches, without_ids
 
 NGRAM = 5
 CONTAINMENT = 0.8
@@ -158,6 +158,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, conta
     without words is in nothing.  Rows without an id are left out, repeated rows count once,
     and other columns are ignored.  An empty table on either side gives no rows.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).where("item_id is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .blocks import chunks, mix, powers, shingles, utf8_parts, words
 from .graph import connected_components
-from .shared import materialise, without_ids
+from .shared import materialise, small_batches, without_ids
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -248,6 +248,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRES
     a doc_id are one document, whose shingles are those of all its rows.  Columns other than
     ``doc_id`` and ``text`` are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).where("doc_id is not null")
     signed = materialise(

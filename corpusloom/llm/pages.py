@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 WINDOW = 3
 GAP = WINDOW
 SHARE = 0.15
@@ -181,4 +183,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 text = pa.array([main_text(x) for x in part.column("html").to_pylist()], pa.string())
                 yield pa.record_batch([part.column("page_id"), part.column("url"), text], ["page_id", "url", "text"])
 
+    small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string")

@@ -27,6 +27,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch: whole texts travel in them, so Spark's own default of 10,000 can mean tens of megabytes at once on either side.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by ``BATCH_ROWS``, unless the session asks for fewer; takes effect for plans run from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, with its lineage cut."""
     spark = df.sparkSession

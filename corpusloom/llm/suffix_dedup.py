@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, mix, powers, prefix_hash, utf8_parts
-from .shared import let_go, materialise
+from .shared import let_go, materialise, small_batches
 from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH = 100
@@ -174,6 +174,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     bytes.  Columns other than ``doc_id`` and ``text`` are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     scanned = source.mapInArrow(_scan(length, gram), _SCANNED)
 

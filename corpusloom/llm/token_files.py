@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Memo
 from .files import RangeReader, make_folder, open_input, open_output, read_all
-from .shared import materialise, shared_path
+from .shared import materialise, shared_path, small_batches
 
 MAGIC = b"CLTOK001"
 _FOOTER = struct.Struct("<QQQ8s")
@@ -240,6 +240,7 @@ def write_tokens(docs: DataFrame, definition: str, folder: str | None = None, en
     than ``doc_id`` and ``text`` are ignored.  An empty table gives a store without shards.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or shared_path(spark, "tokens")
     make_folder(folder)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")

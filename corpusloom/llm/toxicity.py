@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, mix, powers, prefix_hash, utf8_parts, word_mask
-from .shared import materialise, without_ids
+from .shared import materialise, small_batches, without_ids
 
 MOST_PER_CLASS = 4000
 MOST_FEATURES = 2048
@@ -195,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS
     Rows with a null id, text or label teach nothing.  Without labels of both classes no feature is
     learnt, and every text scores next to nothing.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     none = ToxicityModel(np.zeros(1, np.uint64), np.zeros(1), _START)
@@ -232,6 +233,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
     ``offending`` lists structs ``start, end, score`` in text order, in code points, end exclusive.
     Null and empty texts have no sentences and score 0.  One row for each row of ``docs``.
     """
+    small_batches(docs.sparkSession)
     hashes, weights, bias = model.hashes, model.weights, model.bias
     item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 

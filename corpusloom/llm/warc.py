@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import RangeReader, make_folder, open_input, open_output
-from .shared import materialise, shared_path
+from .shared import materialise, shared_path, small_batches
 
 PACKAGE_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -186,6 +186,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, min_bytes: int =
     both page_id and payload are one record.  Other columns are ignored; an empty table
     gives no packages.
     """
+    small_batches(pages.sparkSession)
     folder = folder or shared_path(pages.sparkSession, "warc")
     make_folder(folder)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).where("page_id is not null").withColumn("digest", F.sha1("payload"))
