@@ -21,8 +21,8 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(F.broadcast(factors), label)
 
 
-def sparse_rows(weights: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """``key, features``: one sparse vector for each text, from (key, term, weight) rows.
+def sparse_rows(rows: DataFrame, weights: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``features``: one sparse vector for each text, from (key, term, weight) rows; zeros without any.
 
     Term numbers come from the vocabulary's order; its size is bounded by the representation's ``max_features``.
     """
@@ -32,9 +32,9 @@ def sparse_rows(weights: DataFrame, vocabulary: DataFrame, key: str) -> DataFram
 
     @F.udf(VectorUDT())
     def vector(pairs):  # a vector type has no built-in constructor from sparse pairs
-        return SparseVector(size, [p[0] for p in pairs], [p[1] for p in pairs])
+        return SparseVector(size, [p[0] for p in pairs or ()], [p[1] for p in pairs or ()])
 
-    return listed.select(key, vector("p").alias("features"))
+    return rows.join(listed, key, "left").withColumn("features", vector("p")).drop("p")
 
 
 def dense_rows(vectors: DataFrame, key: str, column: str = "vector") -> DataFrame:
@@ -55,8 +55,14 @@ CLASSIFIERS = ("logreg", "svm")
 ROWS_PER_TASK = 5000
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and without its lineage, in the session's checkpoint folder; cached where none is set (tests)."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
 def fit_predict(train: DataFrame, test: DataFrame, clf: str, key: str = "comment_id", target: str = "gold") -> DataFrame:
     """``key, pred`` of the test rows (key, features) by a model of the training rows (key, features, target)."""
+    train = settled(train.select(target, "features"))  # each step of a fit is a job, which would list all stages before it
     labels = sorted(r[0] for r in train.select(target).distinct().collect())  # a row for each class
     number = reduce(lambda c, i: c.when(F.col(target) == labels[i], float(i)), range(1, len(labels)), F.when(F.col(target) == labels[0], 0.0))
     rows = balanced_weights(train.withColumn("label", number), target).select("features", "label", "weight").cache()
@@ -73,12 +79,14 @@ def cross_validate(rows: DataFrame, representation: str, make, clf: str = "logre
     """Predictions of all folds: comment_id, gold, density, n_tokens, representation, classifier, fold (from 1), pred.
 
     ``rows`` has key, text, gold, density, n_tokens and fold (0 to k - 1; null rows are in no fold).  ``make`` gives a fresh
-    ``Tfidf``, fitted on each fold's training rows, or is a table (key, vector) fitted without labels.  Folds without
-    rows on either side give none.
+    ``Tfidf``, fitted on each fold's training rows, or is a table (key, vector) fitted without labels; rows that it has no
+    vector for get no prediction.  Folds without rows on either side give none, and a fold beyond ``k`` is an error.
     """
     out = []
     frozen = dense_rows(make, key) if isinstance(make, DataFrame) else None
     present = {r.fold for r in rows.where("fold is not null").select("fold").distinct().collect()}  # k rows
+    if max(present, default=0) >= k:
+        raise ValueError(f"rows have a fold {max(present)}, of {k} from 0")
     for fold in range(k):
         if fold not in present or len(present) < 2:
             continue
@@ -87,11 +95,11 @@ def cross_validate(rows: DataFrame, representation: str, make, clf: str = "logre
             x_train, x_test = train.join(frozen, key), test.join(frozen, key)
         else:
             model: Tfidf = make().fit(train, key)
-            vocabulary = model.vocabulary.cache()
-            both = [sparse_rows(model.transform(side, key), vocabulary, key) for side in (train, test)]
-            x_train, x_test = train.join(both[0], key), test.join(both[1], key)
+            model.vocabulary = vocabulary = settled(model.vocabulary)
+            x_train, x_test = (sparse_rows(side, model.transform(side, key), vocabulary, key) for side in (train, test))
         pred = fit_predict(x_train, x_test, clf, key)
-        out.append(test.join(pred, key).select(F.col(key).alias("comment_id"), "gold", "density", "n_tokens", F.lit(representation).alias("representation"), F.lit(clf).alias("classifier"), F.lit(fold + 1).alias("fold"), "pred"))
+        # Each fold is settled before the next, so no plan holds more than one of them.
+        out.append(settled(test.join(pred, key).select(F.col(key).alias("comment_id"), "gold", "density", "n_tokens", F.lit(representation).alias("representation"), F.lit(clf).alias("classifier"), F.lit(fold + 1).alias("fold"), "pred")))
     if not out:
         raise ValueError("no fold has rows on both sides")
     return reduce(DataFrame.unionByName, out)

@@ -481,10 +481,10 @@ def balanced_weights(spark, sf_dir):
 
 @query()
 def cv_predictions(spark, sf_dir):
-    """Cross-validated predictions of two representations; fitted models have no SQL form."""
-    rows = FO.make_folds(R.labelled(spark, sf_dir))
+    """Cross-validated predictions of two representations; fitted models have no SQL form.  Rows without a vector have none by ``xlmr``."""
+    rows = M.settled(FO.make_folds(R.labelled(spark, sf_dir)))  # read by every fold
     vectors = FE.encoder_vectors(R.table(spark, sf_dir, "embeddings")).withColumnRenamed("vec_id", "comment_id")
-    return M.cross_validate(rows, "tfidf_word", lambda: FE.tfidf_word(PAIR, 2000), "logreg", 2).unionByName(M.cross_validate(rows, "xlmr", vectors, "svm", 2))
+    return M.cross_validate(rows, "tfidf_word", lambda: FE.tfidf_word(PAIR), "logreg").unionByName(M.cross_validate(rows, "xlmr", vectors, "svm"))
 
 
 # --- evaluation -------------------------------------------------------------------------------------

@@ -88,3 +88,27 @@ def test_skipgram(spark, docs):
     got = FE.skipgram(docs, dim=4, min_count=1, epochs=1).collect()
     words = {r.word for r in got}
     assert "видео" in words and any(w.startswith("#") for w in words) and len(got[0].vector) == 4
+
+
+def test_all_folds_are_predicted(spark):
+    rows = spark.createDataFrame([(i, "" if i == 7 else ("good video thanks" if i % 2 else "bad dull video"), "pos" if i % 2 else "neg", "mono", 3, i % 5 if i < 40 else None) for i in range(44)], "comment_id long, text string, gold string, density string, n_tokens int, fold long")
+    got = M.cross_validate(rows, "tfidf_word", FE.tfidf_word).collect()
+    assert sorted((r.comment_id, r.fold) for r in got) == [(i, i % 5 + 1) for i in range(40)]
+    with pytest.raises(ValueError):
+        M.cross_validate(rows, "tfidf_word", FE.tfidf_word, k=2)
+
+
+def test_query_predicts_all_folds(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(FE.Tfidf, "__init__", lambda self, terms, most, min_df=2, own=FE.Tfidf.__init__: (found.append(most), own(self, terms, most, min_df))[1])
+    from corpusloom.operators import folds as FO
+    from corpusloom.plans import registry
+    from corpusloom.plans import roles as R
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = FO.make_folds(R.labelled(spark, sf_dir)).where("fold is not null").select("comment_id", "fold").collect()
+    vectors = {r.vec_id for r in R.table(spark, sf_dir, "embeddings").select("vec_id").collect()}
+    got = registry.queries()["cv_predictions"](spark, sf_dir).select("representation", "comment_id", "fold").collect()
+    for name, want in (("tfidf_word", rows), ("xlmr", [r for r in rows if r.comment_id in vectors])):
+        assert sorted((r.comment_id, r.fold) for r in got if r.representation == name) == sorted((r.comment_id, r.fold + 1) for r in want)
+    assert set(found) == {FE.WORD_FEATURES}
