@@ -5,10 +5,12 @@ can't be article text (menus, headers, footers, sidebars, notices, adverts, form
 comments, scripts, styles) leaves ``GAP`` empty lines in its place.  The length of the block
 at line i is the sum of the text lengths over lines i to i + ``WINDOW`` - 1.  Text surges at a line
 whose own length starts a run of positive blocks and dives where blocks fall to zero; each
-surge and its dive bound a region.  Within a page that marks its article (``article``,
-``main`` or a body of that role), regions outside it are dropped and all inside are kept; in others, a
-region is kept if its peak block reaches ``SHARE`` of the highest peak of the page, where
-the length of a block counts without its link text.
+surge and its dive bound a region.  Regions on both sides of a removed subtree are one if the lines
+next to it stand in the same container.  A region is kept if its peak block reaches ``SHARE`` of the highest
+peak of the page, where the length of a block counts without its link text.
+
+An ``article`` or ``main`` element is a prior, not a verdict: it begins and ends regions, link text counts
+inside it, and a region inside needs ``SHARE_INSIDE`` only.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from .shared import small_batches
 WINDOW = 3
 GAP = WINDOW
 SHARE = 0.15
+SHARE_INSIDE = SHARE / 2
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -40,6 +43,9 @@ _JUNK_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|advert\w*|adsense|adbox|adslot|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-bar|widget|footer|footnotes?-nav|header|masthead|topbar|cookies?|consent|gdpr|notice|notices|alert|popup|modal|newsletter|subscribe|subscription|signup|login|comments?|comment-?list|respond|disqus|replies|reply|share|sharing|social|related|recommended|pagination|pager|toolbar|search|skip-link|copyright|legal)(?![a-z])",
     re.I,
 )
+_CONTAINERS = frozenset("body main article section div".split())
+#: Names that tell a state or a subject of an article, not what it is.
+_STATES = re.compile(r"(?<!\S)(?:category|tag|has|no|with|status|type|format)-\S+", re.I)
 _MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|article-?body|main|content|post|entry|story|body)(?![a-z])", re.I)
 
 
@@ -53,34 +59,37 @@ def _junk(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if found.get("role", "").lower() in _JUNK_ROLES:
         return True
-    if tag in ("html", "body", "main", "article"):
+    if tag in ("html", "body", "main"):
         return False
     names = " ".join((found.get("class", ""), found.get("id", "")))
+    if tag == "article":
+        names = _STATES.sub("", names)
     names = re.sub(r"([a-z])([A-Z])", r"\1-\2", names)
     return bool(_JUNK_WORDS.search(names)) and not (_MAIN_WORDS.search(names) and not re.search(r"comment|sidebar|nav|menu|foot|ad", names, re.I))
 
 
 class _Line:
-    __slots__ = ("text", "linked", "inside")
+    __slots__ = ("text", "linked", "inside", "container")
 
-    def __init__(self, text: str = "", linked: int = 0, inside: bool = False):
-        self.text, self.linked, self.inside = text, linked, inside
+    def __init__(self, text: str = "", linked: int = 0, inside: bool = False, container: int = 0):
+        self.text, self.linked, self.inside, self.container = text, linked, inside, container
 
 
-def lines_of(page: str) -> tuple[list[_Line], bool]:
-    """The page's lines after stripping, and whether the page marks an article."""
+def lines_of(page: str) -> list[_Line]:
+    """The page's lines after stripping."""
     lines: list[_Line] = []
     parts: list[str] = []
     state = {"linked": 0}
     links = article = 0
-    has_article = False
+    opened: list[tuple[str, int]] = []
+    n_containers = 0
     skip: str | None = None
     depth = 0
 
     def end_line(gap: int = 0) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            lines.append(_Line(text, min(state["linked"], len(text)), article > 0))
+            lines.append(_Line(text, min(state["linked"], len(text)), article > 0, opened[-1][1] if opened else 0))
         parts.clear()
         state["linked"] = 0
         lines.extend(_Line() for _ in range(gap))
@@ -110,7 +119,7 @@ def lines_of(page: str) -> tuple[list[_Line], bool]:
                 add(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         closing, attributes, empty = m[1] == "/", m[3], m[4] == "/" or tag in _VOID
-        if skip is not None and not closing and tag in ("article", "main"):  # what is dropped was never closed
+        if skip not in (None, tag) and not closing and tag in ("article", "main") and not _junk(tag, attributes, False):  # what is dropped was never closed
             skip = None
         if skip is not None:  # inside a subtree that is dropped: wait for its end
             if tag == skip and not empty:
@@ -132,26 +141,30 @@ def lines_of(page: str) -> tuple[list[_Line], bool]:
         if tag == "a":
             links = max(0, links - 1) if closing else links + (not empty)
         if tag in ("article", "main"):
-            end_line()
+            end_line(GAP if article == closing else 0)  # the outermost begins or ends
             if closing:
                 article = max(0, article - 1)
             elif not empty:
                 article += 1
-                has_article = True
         elif tag not in _INLINE:
             end_line()
+        if tag in _CONTAINERS:
+            if not closing and not empty:
+                n_containers += 1
+                opened.append((tag, n_containers))
+            elif closing and any(t == tag for t, _ in opened):
+                while opened.pop()[0] != tag:
+                    pass
     end_line()
-    return lines, has_article
+    return lines
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page: blocks in page order, joined by line feeds; empty if there is none."""
     if not page:
         return ""
-    lines, has_article = lines_of(page)
-    weight = [len(x.text) if has_article else len(x.text) - x.linked for x in lines]
-    if has_article:
-        weight = [w if x.inside else 0 for w, x in zip(weight, lines)]
+    lines = lines_of(page)
+    weight = [len(x.text) - (0 if x.inside else x.linked) for x in lines]
     n = len(lines)
     block = [sum(weight[i : i + WINDOW]) for i in range(n)]
     regions, i = [], 0
@@ -162,11 +175,16 @@ def main_text(page: str | None) -> str:
         first = i
         while i < n and block[i]:
             i += 1
-        regions.append((first, i, max(block[first:i])))  # the dive
-    if not regions:
-        return ""
-    least = 0 if has_article else SHARE * max(peak for _, _, peak in regions)
-    return "\n".join(x.text for first, last, peak in regions if peak >= least for x in lines[first:last] if x.text and (x.inside or not has_article))
+        peak = max(block[first:i])  # the dive
+        if regions:
+            before, stop, highest = regions[-1]
+            a, b = lines[stop - 1], lines[first]
+            if a.inside == b.inside and a.container == b.container and not any(x.text for x in lines[stop:first]):
+                regions[-1] = (before, i, max(highest, peak))
+                continue
+        regions.append((first, i, peak))
+    top = max((peak for _, _, peak in regions), default=0)
+    return "\n".join(x.text for first, last, peak in regions if peak >= (SHARE_INSIDE if lines[first].inside else SHARE) * top for x in lines[first:last] if x.text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -209,6 +209,26 @@ def test_odd_pages(page, text):
     assert pages.main_text(page) == text
 
 
+LONG = "A sentence of the story that goes on for a while. " * 8
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><p>Teaser</p></article><div><p>{LONG}</p></div>", LONG.strip()),  # the element holds little of the text
+        (f"<article><p>{LONG}</p></article><div><p>{LONG}</p></div><nav>m</nav><div>Short</div>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f'<div><p>{LONG}</p></div><article class="comment"><p>{LONG}</p><article class="comment"><p>Reply</p></article>More</article>', LONG.strip()),
+        (f'<div id="comments"><article class="comment"><p>{LONG}</p></article>Leave a reply</div><div><p>{LONG}!</p></div>', f"{LONG}!"),
+        (f'<article class="post has-comments tag-social"><p>{LONG}</p></article>', LONG.strip()),
+        (f'<div><p>{LONG}</p><div class="ad">Buy</div><p>The end.</p></div><nav>m</nav><div><p>Other</p></div>', f"{LONG.strip()}\nThe end."),
+        (f"<main><h1>Title</h1><article><p>{LONG}</p><aside>x</aside><p>End.</p></article></main>", f"Title\n{LONG.strip()}\nEnd."),
+        (f'<article><h2><a href="/x">Linked title</a></h2><p>{LONG}</p></article>', f"Linked title\n{LONG.strip()}"),
+    ],
+)
+def test_weights_decide_on_marked_pages(page, text):
+    assert pages.main_text(page) == text
+
+
 def test_page_table(spark):
     rows = [(1, "u", FULL), (None, None, None), (2, "v", ""), (2, "v", ""), (3, "w", "<article>" + "<p>x</p>" * 20_000)]
     got = pages.extract(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")).collect()
