@@ -7,8 +7,9 @@ filters slide over that image, each a contrast of sums that an integral image gi
 each answer is quantised to two bits in Gray code, and sixteen answers pack into one 32-bit code
 for each frame.
 
-Two recordings align where many of their codes are equal at one offset: the offset histogram's peak
-is tried, and the share of differing bits decides how long a stretch agrees there.  Recordings with equal fingerprints are one class, named by its least doc_id,
+Two recordings align where many of their codes are equal at one offset: offsets with ``LEAST_VOTES`` or more in the
+histogram are tried by falling votes until one aligns, and the share of differing bits decides how long a stretch agrees there.
+A stretch with fewer equal code changes is not found.  Recordings with equal fingerprints are one class, named by its least doc_id,
 and only classes are compared.
 
 Queries go to the executors in blocks of at most ``BLOCK_BYTES`` of codes, one pass over the fingerprints
@@ -177,10 +178,10 @@ def _searcher(queries: list[tuple[int, bytes]]):
             q = p >> 40
             if q == last or ids[q] == own_id:
                 continue
-            last = q
             shift = (p & (1 << 40) - 1) - (1 << 39)
             start, overlap, errors = aligned(codes[q], mine, shift)
             if overlap:
+                last = q
                 out.append({"query_id": ids[q], "offset": shift, "start": start, "overlap": overlap, "bit_errors": errors})
         return out
 

@@ -176,6 +176,17 @@ def test_zip64_directory_and_broken_archives():
         warc.parse_record(record[:-20])
 
 
+def test_lower_peaks_are_tried():
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, 2**32, 400, dtype=np.uint32) for _ in range(2))
+    b[:240:20] = a[:240:20]  # the tallest peak, without a stretch
+    b[301:311] = a[101:111]
+    table = pa.record_batch([pa.array([2], pa.int64()), pa.array([b.tobytes()], pa.binary())], ["class_id", "codes"])
+    (got,) = audio._searcher([(1, a.tobytes())])(iter([table]))
+    ((found,),) = got.column("found").to_pylist()
+    assert (found["query_id"], found["offset"]) == (1, -200) and found["start"] <= 101 and found["start"] + found["overlap"] >= 111
+
+
 # --- pages --------------------------------------------------------------------------------------------
 
 FULL = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="page">
