@@ -155,7 +155,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, conta
     A document may hold them anywhere; those that stand within about twice the item's length,
     as a passage does, and those of documents not much longer than the item are found with
     probability ``recall`` each.  Null texts count as empty; a text without words holds nothing and an item
-    without words is in nothing.  Rows without an id are left out, repeated rows count once,
+    without words is in nothing.  An item of fewer than ``n`` words is its own only shingle, as in the SQL form, so
+    a text of ``n`` words or more never holds it; only a text of the same words does.  Rows without an id are left out, repeated rows count once,
     and other columns are ignored.  An empty table on either side gives no rows.
     """
     small_batches(docs.sparkSession)
