@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Memo
@@ -41,6 +41,7 @@ DICTIONARY_BYTES = 64 << 10
 #: doc_id, and at most so many bytes of each; it changes the size of files, never their content.
 SAMPLE_DOCUMENTS = 500
 SAMPLE_BYTES = 32 << 10
+SAMPLE_SLICES = 8
 MEMO_WORDS = 450_000
 MEMO_STEMS = 200_000
 #: White space of Python that the tokeniser doesn't know as such.
@@ -148,6 +149,23 @@ def encoder_of(definition: str) -> WordEncoder:
     return _encoders[key]
 
 
+def sampled_text(text: Column) -> Column:
+    """A text of at most ``SAMPLE_BYTES`` characters itself; of a longer one, equal slices spread from its start to its end."""
+    part = SAMPLE_BYTES // SAMPLE_SLICES
+    step = (F.length(text) - part) / (SAMPLE_SLICES - 1)
+    slices = (text.substr((step * i).cast("int") + 1, F.lit(part)) for i in range(SAMPLE_SLICES))
+    return F.when(F.length(text) <= SAMPLE_BYTES, text).otherwise(F.concat(*slices))
+
+
+def sampled_ids(ids: bytes) -> bytes:
+    """At most ``SAMPLE_BYTES`` of packed ids, as slices spread in the same way."""
+    if len(ids) <= SAMPLE_BYTES:
+        return ids
+    part = SAMPLE_BYTES // SAMPLE_SLICES
+    starts = ((len(ids) - part) * i // (SAMPLE_SLICES - 1) // 4 * 4 for i in range(SAMPLE_SLICES))
+    return b"".join(ids[a : a + part] for a in starts)
+
+
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary of at most ``size`` bytes; empty if there is too little to learn from."""
     try:
@@ -247,8 +265,8 @@ def write_tokens(docs: DataFrame, definition: str, folder: str | None = None, en
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     sample = source.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).withColumnRenamed("doc_id", "_id").distinct()
-    texts = [r.text for r in source.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).limit(2 * SAMPLE_DOCUMENTS).collect()]
-    dictionary = train_dictionary([x[:SAMPLE_BYTES] for x in WordEncoder(definition).encode(texts) if x])
+    texts = [r.text for r in source.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select(sampled_text(F.col("text")).alias("text")).limit(2 * SAMPLE_DOCUMENTS).collect()]
+    dictionary = train_dictionary([sampled_ids(x) for x in WordEncoder(definition).encode(texts) if x])
     with open_output(f"{folder}/dictionary") as out:
         out.write(dictionary)
     shared = spark.sparkContext.broadcast((definition, dictionary))  # bounded by the tokeniser and DICTIONARY_BYTES

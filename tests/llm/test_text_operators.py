@@ -104,6 +104,18 @@ def test_token_store(spark, make_docs, word_oracle):
     assert token_files.read_tokens(spark, empty).count() == 0
 
 
+def test_dictionary_samples_reach_the_end(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(token_files, "train_dictionary", lambda samples: seen.extend(samples) or b"")
+    text = "".join(f"{i:07d} " for i in range(20_000))
+    encoder = token_files.WordEncoder(open(WORDS, encoding="utf-8").read())
+    token_files.write_tokens(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), open(WORDS, encoding="utf-8").read())
+    whole, last = sorted(seen, key=len)[-1], encoder.encode([text])[0][-400:]
+    assert len(whole) <= token_files.SAMPLE_BYTES and whole.endswith(last) and encoder.encode(["short"])[0] in seen
+    assert token_files.sampled_ids(bytes(40_000) + b"tail")[-4:] == b"tail"
+
+
+
 # --- shingles, near duplicates, decontamination -------------------------------------------------------
 
 
