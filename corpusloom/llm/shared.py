@@ -2,29 +2,46 @@
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir``; a lost executor
 then costs the tasks it ran and never a finished stage.  Nothing is kept only on
-one machine.
+one machine.  Tables that later ones have replaced are deleted by ``discard``; those that a result still
+reads stay until ``clear`` is called.
 """
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
+#: What this process has written, by application.
+_written: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only if unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``.  A local session without one gets a temporary folder, deleted at exit; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[context.applicationId] = "file://" + folder
+    return _own[context.applicationId]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 #: Rows of an Arrow batch: whole texts travel in them, so Spark's own default of 10,000 can mean tens of megabytes at once on either side.
@@ -43,7 +60,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing still to be computed reads, and let Spark's cleaner find the shuffle files of their stages.
+
+    It drops those when the driver's JVM collects their handles, which it otherwise may not do for half an hour.
+    """
+    for table in tables:
+        delete_shared(table.sparkSession, table.shared_path)
+    spark = tables[0].sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def delete_shared(spark: SparkSession, path: str) -> None:
@@ -53,14 +84,10 @@ def delete_shared(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Let Spark's cleaner find the shuffle files of finished, materialised stages now.
-
-    It drops them when the driver's JVM collects their handles, which it otherwise may not do for
-    half an hour.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def clear(spark: SparkSession) -> None:
+    """Delete all that operators have written for this application; results not yet written elsewhere are lost."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        delete_shared(spark, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -76,3 +103,19 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     name = fresh(df, "gone")
     gone = ids.toDF(name)
     return df.join(gone, df[key] == gone[name], "left_anti")
+
+
+#: A key is hot if it has more than one in so many of the rows; no more keys than this can be.
+HOT_SHARE = 512
+
+
+def join_unique(many: DataFrame, one: DataFrame, keys: list[str], total: int, n: str = "n_rows") -> DataFrame:
+    """Inner join of ``many`` with ``one``, a table of unique keys whose column ``n`` counts the rows of ``many`` with each.
+
+    ``total`` is at least the number of rows of ``many``.  Hot keys, at most ``HOT_SHARE`` rows of ``one``, are
+    broadcast, so their rows stay where they are; all others are shuffled, in groups of at most total / HOT_SHARE rows.
+    """
+    hot = F.col(n) > total // HOT_SHARE
+    few = F.broadcast(one.where(hot).drop(n))
+    cold = many.join(few.select(*keys), keys, "left_anti").join(one.where(~hot).drop(n), keys)
+    return many.join(few, keys).unionByName(cold)

@@ -3,8 +3,8 @@
 The induced passes are sequential by nature: an entry puts its left neighbour at the head (or tail) of that
 neighbour's bucket, where the scan meets it later.  They run here in chunks: all entries up to the
 first place that the chunk itself fills are final, so their neighbours are placed in one vector
-step, in the order of the scan.  Over the large alphabet of names such chunks are short, so the names
-themselves are sorted by recursive doubling.
+step, in the order of the scan.  Where such chunks get short, as in long runs of one character, the scan
+goes entry by entry for a while.  The string of names is sorted by the same procedure.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 _SMALL = 48
+#: A chunk of fewer entries is slower than as many single steps, and so many single steps follow it.
+_SHORT, _STEPS = 96, 2048
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -36,6 +38,18 @@ def _place(c: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return rank, ordered[first], counts
 
 
+def _steps(sa: np.ndarray, s: np.ndarray, smaller: np.ndarray, free: np.ndarray, at: int, stop: int, forward: bool) -> None:
+    """The scan from ``at`` to ``stop``, entry by entry."""
+    way = 1 if forward else -1
+    for k in range(at, stop, way):
+        left = sa.item(k) - 1
+        if left >= 0 and smaller.item(left) != forward:
+            c = s.item(left)
+            place = free.item(c)
+            sa[place] = left
+            free[c] = place + way
+
+
 def _induce(sa: np.ndarray, s: np.ndarray, smaller: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
     """Fill L-type suffixes from left to right, then S-type ones from right to left."""
     n = len(s)
@@ -74,6 +88,11 @@ def _induce(sa: np.ndarray, s: np.ndarray, smaller: np.ndarray, starts: np.ndarr
                     chars, counts = np.unique(c, return_counts=True)
                 size = max(64, 2 * abs(cut - at))
                 stop = cut
+                if abs(cut - at) < _SHORT:
+                    stop = min(n, at + _STEPS) if forward else max(-1, at - _STEPS)
+                    _steps(sa, s, smaller, free, at, stop, forward)
+                    at, size = stop, 1 << 12
+                    continue
             else:
                 size = min(size * 2, 1 << 17)
             sa[target] = left
@@ -94,37 +113,6 @@ def _equal(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> n
     return out
 
 
-def _sort_names(rank: np.ndarray) -> np.ndarray:
-    """The suffix array of the string of names, by recursion on names of twice as many substrings.
-
-    ``rank`` numbers each name by the place at which its equals begin in sorted order.  Names of a
-    round are pairs of names of the round before; only what isn't distinct yet is sorted again.
-    """
-    n = len(rank)
-    rank = rank.copy()
-    live = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
-    span = 1
-    while len(live):
-        follow = np.full(len(live), 0, np.int64)
-        inside = live + span < n
-        follow[inside] = rank[live[inside] + span] + 1
-        key = rank[live] * (n + 1) + follow
-        order = np.argsort(key)
-        live, key = live[order], key[order]
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        old = key // (n + 1)
-        group = np.concatenate(([True], old[1:] != old[:-1]))
-        index = np.arange(len(live))
-        first = np.maximum.accumulate(np.where(new, index, 0))
-        rank[live] = old + first - np.maximum.accumulate(np.where(group, index, 0))
-        alone = new & np.append(new[1:], True)
-        live = live[~alone]
-        span *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
-    return out
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of ``text``, integers of 0 or more, in lexicographic order."""
     return _sort(np.append(text.astype(np.int32) + 1, np.int32(0)))[1:]
@@ -163,9 +151,9 @@ def _sort(s: np.ndarray) -> np.ndarray:
     same[same] = _equal(s, a[same], b[same], length[a[same]])
     name = np.concatenate(([0], np.cumsum(~same)))
     if name[-1] + 1 < len(lms):
-        named = np.zeros(n, np.int64)
-        named[ordered] = np.concatenate(([0], np.flatnonzero(~same) + 1))[name]
-        ordered = lms[_sort_names(named[lms])]
+        named = np.zeros(n, np.int32)
+        named[ordered] = name
+        ordered = lms[_sort(named[lms])]  # the sentinel's name is 0 and stands last
     sa = seeded(ordered)
     _induce(sa, s, smaller, starts, ends)
     return sa

@@ -271,7 +271,7 @@ def brute_dedup(rows, length):
 
 @pytest.mark.parametrize("most", [16_384, 1])
 def test_suffix_dedup(make_docs, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "MOST_SNIPPETS", most)
+    monkeypatch.setattr(suffix_dedup, "SHARD_SNIPPETS", most)
     rng = random.Random(most)
     passages = ["".join(rng.choice("abcdefgh é") for _ in range(rng.choice([40, 120, 400]))) for _ in range(12)]
     rows = [(i, "".join(rng.choice(passages) if rng.random() < 0.6 else "".join(rng.choice("mnopq ") for _ in range(50)) for _ in range(rng.randrange(7)))) for i in range(60)]
