@@ -7,7 +7,7 @@ at line i is the sum of the text lengths over lines i to i + ``WINDOW`` - 1.  Te
 whose own length starts a run of positive blocks and dives where blocks fall to zero; each
 surge and its dive bound a region.  Regions on both sides of a removed subtree are one if the lines
 next to it stand in the same container.  A region is kept if its peak block reaches ``SHARE`` of the highest
-peak of the page, where the length of a block counts without its link text.
+peak of the page, where the length of a block counts without its link text, and lines of ``LINKED`` link text or more count as empty.
 
 An ``article`` or ``main`` element is a prior, not a verdict: it begins and ends regions, link text counts
 inside it, and a region inside needs ``SHARE_INSIDE`` only.
@@ -15,6 +15,7 @@ inside it, and a region inside needs ``SHARE_INSIDE`` only.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -29,8 +30,10 @@ WINDOW = 3
 GAP = WINDOW
 SHARE = 0.15
 SHARE_INSIDE = SHARE / 2
+LINKED = 0.8
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)(?:>|\Z)""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_ENDS = re.compile(r"[\"'<>]")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -68,6 +71,59 @@ def _junk(tag: str, attributes: str, in_article: bool) -> bool:
     return bool(_JUNK_WORDS.search(names)) and not (_MAIN_WORDS.search(names) and not re.search(r"comment|sidebar|nav|menu|foot|ad", names, re.I))
 
 
+@functools.cache
+def _literal_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+
+
+class _Markup:
+    """Finds where the markup that begins at a less-than sign ends, in time linear in the page for all of them together."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.unquoted = {}  # quote sign -> where its last one is behind
+
+    def tag(self, low: int) -> tuple[int, str, bool, str, bool] | None:
+        """(end, name, closing, attributes, empty) of a tag; None if no name follows.
+
+        A tag ends at the first ``>`` outside quotes or before the first ``<`` outside them; a quote that never ends is an ordinary sign.
+        """
+        page = self.page
+        m = _NAME.match(page, low + 1)
+        if not m:
+            return None
+        at = first = m.end()
+        while True:
+            e = _ENDS.search(page, at)
+            if not e:
+                stop = end = len(page)
+                break
+            if e[0] in "<>":
+                stop, end = e.start(), e.end() if e[0] == ">" else e.start()
+                break
+            at = e.end()
+            if self.unquoted.get(e[0], at + 1) > at:
+                close = page.find(e[0], at)
+                if close < 0:
+                    self.unquoted[e[0]] = at
+                else:
+                    at = close + 1
+        attributes = page[first:stop]
+        empty = attributes.endswith("/")
+        return end, m[2].lower(), m[1] == "/", attributes[:-1] if empty else attributes, empty
+
+    def other(self, low: int) -> tuple[int, str]:
+        """(end, text) of a comment, a declaration or a section of characters, which alone has text."""
+        page = self.page
+        for opened, closed, text in (("<!--", "-->", False), ("<![CDATA[", "]]>", True), ("<", ">", False)):
+            if page.startswith(opened, low):
+                first = low + len(opened)
+                stop = page.find(closed, first)
+                stop, end = (len(page), len(page)) if stop < 0 else (stop, stop + len(closed))
+                return end, page[first:stop] if text else ""
+        raise ValueError("no markup here")
+
+
 class _Line:
     __slots__ = ("text", "linked", "inside", "container")
 
@@ -75,14 +131,16 @@ class _Line:
         self.text, self.linked, self.inside, self.container = text, linked, inside, container
 
 
-def lines_of(page: str) -> list[_Line]:
-    """The page's lines after stripping."""
+def lines_of(page: str, lists: bool = True) -> list[_Line]:
+    """The page's lines after stripping; without ``lists``, no names of tags, roles and classes tell what is an article and what isn't."""
+    markup = _Markup(page)
+    junk = _junk if lists else lambda tag, attributes, in_article: tag in _RAW
     lines: list[_Line] = []
     parts: list[str] = []
     state = {"linked": 0}
     links = article = 0
     opened: list[tuple[str, int]] = []
-    n_containers = 0
+    n_containers, n_opened = 0, dict.fromkeys(_CONTAINERS, 0)
     skip: str | None = None
     depth = 0
 
@@ -107,19 +165,19 @@ def lines_of(page: str) -> list[_Line]:
             add(page[at:])
             break
         add(page[at:low])
-        m = _TAG.match(page, low)
-        if not m:  # a less-than sign
+        if page.startswith(("<!", "<?"), low):
+            at, text = markup.other(low)
+            if text:
+                add(html.escape(text))
+            continue
+        found = markup.tag(low)
+        if not found:  # a less-than sign
             add("<")
             at = low + 1
             continue
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                add(html.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        closing, attributes, empty = m[1] == "/", m[3], m[4] == "/" or tag in _VOID
-        if skip not in (None, tag) and not closing and tag in ("article", "main") and not _junk(tag, attributes, False):  # what is dropped was never closed
+        at, tag, closing, attributes, empty = found
+        empty = empty or tag in _VOID
+        if skip not in (None, tag) and not closing and tag in ("article", "main") and not junk(tag, attributes, False):  # what is dropped was never closed
             skip = None
         if skip is not None:  # inside a subtree that is dropped: wait for its end
             if tag == skip and not empty:
@@ -129,18 +187,18 @@ def lines_of(page: str) -> list[_Line]:
             elif closing and tag in ("body", "html"):
                 skip = None
             continue
-        if not closing and _junk(tag, attributes, article > 0):
+        if not closing and junk(tag, attributes, article > 0):
             if tag not in _INLINE:
                 end_line(GAP)
             if tag in _LITERAL:
-                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                stop = _literal_end(tag).search(page, at)
                 at = stop.end() if stop else n
             elif not empty:
                 skip, depth = tag, 1
             continue
         if tag == "a":
             links = max(0, links - 1) if closing else links + (not empty)
-        if tag in ("article", "main"):
+        if lists and tag in ("article", "main"):
             end_line(GAP if article == closing else 0)  # the outermost begins or ends
             if closing:
                 article = max(0, article - 1)
@@ -152,19 +210,26 @@ def lines_of(page: str) -> list[_Line]:
             if not closing and not empty:
                 n_containers += 1
                 opened.append((tag, n_containers))
-            elif closing and any(t == tag for t, _ in opened):
-                while opened.pop()[0] != tag:
-                    pass
+                n_opened[tag] += 1
+            elif closing and n_opened[tag]:
+                while True:
+                    last, _ = opened.pop()
+                    n_opened[last] -= 1
+                    if last == tag:
+                        break
     end_line()
     return lines
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: blocks in page order, joined by line feeds; empty if there is none."""
+def main_text(page: str | None, lists: bool = True) -> str:
+    """The main text of a page: blocks in page order, joined by line feeds; empty if there is none.
+
+    Without ``lists`` the distribution of text and links alone decides, as a measure of what it does.
+    """
     if not page:
         return ""
-    lines = lines_of(page)
-    weight = [len(x.text) - (0 if x.inside else x.linked) for x in lines]
+    lines = lines_of(page, lists)
+    weight = [len(x.text) if x.inside else 0 if x.linked >= LINKED * len(x.text) else len(x.text) - x.linked for x in lines]
     n = len(lines)
     block = [sum(weight[i : i + WINDOW]) for i in range(n)]
     regions, i = [], 0

@@ -7,7 +7,8 @@ A store is a folder with ``dictionary`` (trained on serialised id arrays) and sh
 with one frame for each document, the index rows ``doc_id, offset, frame length, number of ids`` (four
 little-endian 64-bit integers) in ascending doc_id order, and the footer ``index offset, rows, ids`` and the
 magic again.  A document is read by its index row alone, whatever the size of the others; a reader refuses a
-dictionary of another hash.  Shards hold disjoint, ascending ranges of doc_id.
+dictionary of another hash.  Shards hold ascending ranges of doc_id, and a shard ends at ``SHARD_BYTES`` of frames or
+``SHARD_DOCUMENTS``, which bounds its index.
 
 Tasks name their shards anew on each attempt and the manifest, itself written to the shared
 folder, lists those of the attempts that Spark committed; a lost executor leaves at most
@@ -17,6 +18,7 @@ files that nothing lists.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -42,6 +44,8 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS = 500
 SAMPLE_BYTES = 32 << 10
 SAMPLE_SLICES = 8
+SHARD_BYTES = 256 << 20
+SHARD_DOCUMENTS = 1 << 20
 MEMO_WORDS = 450_000
 MEMO_STEMS = 200_000
 #: White space of Python that the tokeniser doesn't know as such.
@@ -52,7 +56,8 @@ class WordEncoder:
     """Ids of whole texts by a ``tokenizers`` file whose normaliser and splitter never cross white space.
 
     Texts are cut at white space, and bounded memos keep the ids of words and stems.  Of words not met before, those of
-    plain letters go to the library's model, and all others through the library whole, as one pre-split sequence.
+    plain letters go to the library's model, and all others through the library whole, as one pre-split sequence.  Texts that hold
+    an added token go through the library as they are.
     """
 
     def __init__(self, definition: str):
@@ -62,7 +67,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
         self.memo, self.old = {}, {}
         self.stems = Memo(MEMO_STEMS)
         # What the splitter makes of each small letter: a word of such letters is one piece, which the model takes as it is.
@@ -121,7 +126,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special ids."""
-        split = [None if any(c in t for c in _ODD) else t.split() for t in texts]
+        whole = (*_ODD, *self.added)
+        split = [None if any(c in t for c in whole) else t.split() for t in texts]
         words = set().union(*(s for s in split if s))
         new = words - self.memo.keys()
         again = new & self.old.keys()
@@ -184,6 +190,7 @@ def _decompressor(dictionary: bytes):
 
 class ShardWriter:
     def __init__(self, uri: str, dictionary: bytes):
+        self.uri = uri
         self.out, self.packer, self.index, self.n_ids = open_output(uri), _compressor(dictionary), [], 0
         self.out.write(MAGIC + hashlib.sha256(dictionary).digest())
         self.at = len(MAGIC) + 32
@@ -247,10 +254,10 @@ class TokenStore:
         return None
 
 
-_SHARD = "path string, first_id long, last_id long, n_docs long, n_ids long"
+_SHARD = "path string, first_id long, last_id long, part long, n_docs long, n_ids long"
 
 
-def write_tokens(docs: DataFrame, definition: str, folder: str | None = None, end_id: int | None = END_ID) -> TokenStore:
+def write_tokens(docs: DataFrame, definition: str, folder: str | None = None, end_id: int | None = END_ID, shard_documents: int = SHARD_DOCUMENTS) -> TokenStore:
     """Encode every whole text, append ``end_id``, and write a store in ascending doc_id order.
 
     Null texts count as empty and hold the end id alone.  Rows without doc_id have no place in
@@ -272,23 +279,29 @@ def write_tokens(docs: DataFrame, definition: str, folder: str | None = None, en
     shared = spark.sparkContext.broadcast((definition, dictionary))  # bounded by the tokeniser and DICTIONARY_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, path = None, None, None
+        encoder, writer, done = encoder_of(shared.value[0]), None, 0
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            row = {"path": writer.uri, "first_id": writer.index[0][0], "last_id": writer.index[-1][0], "part": done, "n_docs": len(writer.index), "n_ids": writer.n_ids}
+            return pa.RecordBatch.from_pylist([row])
+
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                if writer is None:
-                    path = f"{folder}/shard-{uuid.uuid4().hex}"
-                    encoder, writer = encoder_of(shared.value[0]), ShardWriter(path, shared.value[1])
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
+                    if writer is None:
+                        writer = ShardWriter(f"{folder}/shard-{uuid.uuid4().hex}", shared.value[1])
                     writer.add(doc_id, ids + tail)
+                    if writer.at >= SHARD_BYTES or len(writer.index) >= shard_documents:
+                        yield closed()
+                        writer, done = None, done + 1
         if writer is not None:
-            writer.close()
-            row = {"path": path, "first_id": writer.index[0][0], "last_id": writer.index[-1][0], "n_docs": len(writer.index), "n_ids": writer.n_ids}
-            yield pa.RecordBatch.from_pylist([row])
+            yield closed()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    rows = sorted(materialise(ordered.mapInArrow(run, _SHARD), "shards").collect(), key=lambda r: (r.first_id, r.last_id))
+    rows = sorted(materialise(ordered.mapInArrow(run, _SHARD), "shards").collect(), key=lambda r: (r.first_id, r.last_id, r.part))
     starts = np.concatenate(([0], np.cumsum([r.n_ids for r in rows]))).tolist()
     return TokenStore(folder, [(r.path, int(s), r.first_id, r.last_id, r.n_docs, r.n_ids) for r, s in zip(rows, starts)])
 

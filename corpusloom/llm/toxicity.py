@@ -2,14 +2,18 @@
 
 A sentence is what stands between sentence ends (``. ! ?`` and line feeds).  Its features are its words
 and their prefixes of three to six bytes, which carry stems that inflect.  With z the
-sum of the weights of a sentence's features, its probability is the logistic of z, and
-a document's is the noisy-or of its sentences, ``1 - prod(1 - p)``.  The weights are
-fitted to document labels by gradient descent on that probability's log-loss; the same
-weights then point at the sentences that made a document toxic.
+sum of the weights of a sentence's features, its probability is ``1 - exp(-h)`` with
+``h = max(0, softplus(z + BIAS) - softplus(BIAS))``: it grows like a logistic function, and a sentence
+without evidence has none.  A document's is the noisy-or of its sentences and of a leak, the
+``base`` rate of documents in which nothing speaks for toxicity: ``1 - (1 - base) prod(1 - p)``.  So a text
+without evidence scores the base rate, whatever its length, and features may speak against as well as for.
+Weights and base rate are fitted to document labels by gradient descent on that
+probability's log-loss with a lasso penalty; the same weights then point at the sentences that made a document toxic.
 
 Fitting uses at most ``MOST_PER_CLASS`` labelled documents of each class, those with the least hash of
-doc_id, weighted back to the share of their class among the labels.  At most ``MOST_FEATURES`` features
-take part, by the likelihood ratio of their document counts in the two classes.
+doc_id, weighted back to the share of their class among the labels.  The ``MOST_FEATURES`` features of
+the highest likelihood ratio of their document counts in the two classes take part, at every size of the
+input; the penalty falls with the number of documents as the noise of such counts does.
 What reaches the driver is bounded by these two numbers.
 """
 
@@ -28,21 +32,35 @@ from .shared import materialise, small_batches, without_ids
 
 MOST_PER_CLASS = 4000
 MOST_FEATURES = 2048
-LEAST_DOCUMENTS = 5
-LEAST_RATIO = 30.0
+LEAST_DOCUMENTS = 2
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
-STEPS = 500
-_PENALTY = 3e-5
-_START = -7.0
+STEPS = 600
+BIAS = -4.0
+LASSO = 0.03
+#: Pulls the base rate towards this logit, so weakly that it only matters where nearly all labels have evidence.
+_BASE, _BASE_PULL = -3.0, 1e-3
 _CHUNK_BYTES = 1 << 18  # a word has up to five features, of 16 bytes each and more in passing
 
 
+def _softplus(x):
+    return np.logaddexp(0, x)
+
+
+def _logistic(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def hazard(z):
+    """-log(1 - p) of a sentence whose features' weights sum to ``z``."""
+    return np.maximum(0, _softplus(z + BIAS) - _softplus(BIAS))
+
+
 @dataclass
 class ToxicityModel:
     hashes: np.ndarray  # sorted, 64 bits
     weights: np.ndarray
-    bias: float
+    base: float  # the probability of a text without evidence
 
 
 def held_out(doc_id="doc_id"):
@@ -129,7 +147,7 @@ def _hits(hashes: np.ndarray):
 
 
 def _bags(hashes: np.ndarray):
-    """Rows (toxic, sentences, sentence numbers, feature numbers) of labelled documents."""
+    """Rows (toxic, sentence numbers, feature numbers) of labelled documents."""
     look = _hits(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,60 +163,73 @@ def _bags(hashes: np.ndarray):
                 cut = np.searchsorted(pair, first_of * np.int64(len(hashes)))
                 for i in range(last - first):
                     own = pair[cut[i] : cut[i + 1]]
-                    out.append((label[first + i], int(first_of[i + 1] - first_of[i]), (own // len(hashes) - first_of[i]).tolist(), (own % len(hashes)).tolist()))
-            cols = list(zip(*out)) or [(), (), (), ()]
+                    out.append((label[first + i], (own // len(hashes) - first_of[i]).tolist(), (own % len(hashes)).tolist()))
+            cols = list(zip(*out)) or [(), (), ()]
             yield pa.record_batch(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.int32()))],
-                ["toxic", "sentences", "at", "feature"],
+                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32()))],
+                ["toxic", "at", "feature"],
             )
 
     return run
 
 
+def objective(w: np.ndarray, leak: float, y: np.ndarray, importance: np.ndarray, doc_of: np.ndarray, pair_sentence: np.ndarray, pair_feature: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """Weighted log-loss of the noisy-or, without the penalty, and its gradients by the weights and by the logit of the base rate.
+
+    Sentence s is of document doc_of[s]; a pair says that a feature is in a sentence.
+    """
+    n, n_docs = len(doc_of), len(y)
+    z = np.bincount(pair_sentence, w[pair_feature], n)
+    base = _logistic(leak)
+    log_q = np.log1p(-base) - np.bincount(doc_of, hazard(z), n_docs)
+    p = np.maximum(-np.expm1(log_q), 1e-9)
+    loss = -(importance * np.where(y > 0, np.log(p), log_q)).sum() + _BASE_PULL * (leak - _BASE) ** 2 / 2
+    pull = importance * np.where(y > 0, -np.exp(log_q) / p, 1.0)
+    slope = pull[doc_of] * np.where(z >= 0, _logistic(z + BIAS), 0)
+    return loss, np.bincount(pair_feature, slope[pair_sentence], len(w)), pull.sum() * base + _BASE_PULL * (leak - _BASE)
+
+
 def _fit(bags: list, n_features: int, class_weight: dict[int, float]) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the weighted log-loss of noisy-or, by Adam."""
+    """Weights and base rate that minimise the penalised loss, by Adam with soft thresholds."""
     y = np.array([b.toxic for b in bags], np.float64)
     importance = np.array([class_weight[int(v)] for v in y])
     importance /= importance.sum()
-    # Sentences without features are alike: they count by number.  The others are listed.
-    doc_of, pairs_s, pairs_f, n = [], [], [], 0
-    empty = np.zeros(len(bags))
-    for d, b in enumerate(bags):
+    doc_of, pair_sentence, pair_feature, n = [], [], [], 0
+    for d, b in enumerate(bags):  # sentences without features have no say
         used, local = np.unique(np.array(b.at, np.int64), return_inverse=True)
-        empty[d] = b.sentences - len(used)
         doc_of.append(np.full(len(used), d))
-        pairs_s.append(local + n)
-        pairs_f.append(np.array(b.feature, np.int64))
+        pair_sentence.append(local + n)
+        pair_feature.append(np.array(b.feature, np.int64))
         n += len(used)
-    doc_of, pairs_s, pairs_f = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc_of, pairs_s, pairs_f))
-    w = np.zeros(n_features + 1)
-    w[-1] = _START
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    doc_of, pair_sentence, pair_feature = (np.concatenate(x).astype(np.int64) for x in (doc_of, pair_sentence, pair_feature))
+    share = float((importance * y).sum())
+    penalty = LASSO * np.sqrt(share * (1 - share) * np.log(n_features + 1) / len(y))
+    w, leak = np.zeros(n_features), float(np.log(max(share, 1e-6) / 2))
+    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(pairs_s, w[pairs_f], n) + w[-1]
-        p = 1 / (1 + np.exp(-z))
-        p0 = 1 / (1 + np.exp(-w[-1]))
-        log_q = np.bincount(doc_of, -np.logaddexp(0, z), len(bags)) - empty * np.logaddexp(0, w[-1])
-        odds = np.exp(log_q) / np.maximum(-np.expm1(log_q), 1e-9)
-        pull = importance * np.where(y > 0, -odds, 1.0)
-        gz = pull[doc_of] * p
-        grad = np.append(np.bincount(pairs_f, gz[pairs_s], n_features) + _PENALTY * w[:-1], gz.sum() + (pull * empty).sum() * p0)
+        _, by_weight, by_leak = objective(w, leak, y, importance, doc_of, pair_sentence, pair_feature)
+        grad = np.append(by_weight, by_leak)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
-    return w[:-1], float(w[-1])
+        rate = 0.05 / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        move = rate * m / (1 - 0.9**step)
+        w, leak = w - move[:-1], float(leak - move[-1])
+        w = np.sign(w) * np.maximum(np.abs(w) - penalty * rate[:-1], 0)
+    return w, float(_logistic(leak))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS) -> ToxicityModel:
     """A model from the labelled rows of ``docs`` that aren't held out; only text and ``toxic`` take part.
 
-    Rows with a null id, text or label teach nothing.  Without labels of both classes no feature is
-    learnt, and every text scores next to nothing.
+    Rows with a null id, text or label teach nothing.  A document with several labels counts once, as toxic if one of
+    them says so.  Without labels of both classes no feature is
+    learnt, and every text scores the share of toxic labels, or next to nothing if there are none.
     """
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    none = ToxicityModel(np.zeros(1, np.uint64), np.zeros(1), _START)
+    none = ToxicityModel(np.zeros(1, np.uint64), np.zeros(1), float(1 in totals and 0 not in totals))
     if len(totals) < 2:
         return none
     chosen = None
@@ -206,35 +237,38 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS
         part = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * most_per_class rows of two numbers, whatever the input.
-    bound = F.broadcast(chosen.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id"))
+    bound = F.broadcast(chosen.withColumnRenamed("doc_id", "_id"))
     sample = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(bound, F.col("doc_id") == F.col("_id")).where("text is not null").select("toxic", "text"), "labelled")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return none
     pos, neg = float(sizes[1]), float(sizes[0])
     counted = sample.repartition(F.xxhash64("text")).mapInArrow(_document_features, "feature long, toxic long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    a, b = F.col("a"), F.col("b")
 
-    def part(seen, size):  # seen * ln(seen / expected)
-        return F.when(seen > 0, seen * F.log(seen / ((F.col("a") + F.col("b")) * size / (pos + neg)))).otherwise(0.0)
+    def part(seen, of_feature, of_class):  # seen * ln(seen / expected)
+        return F.when(seen > 0, seen * F.log(seen * (pos + neg) / (of_feature * of_class))).otherwise(0.0)
 
-    ratio = 2 * (part(F.col("a"), pos) + part(F.col("b"), neg))
-    best = counted.where((F.col("a") >= LEAST_DOCUMENTS) & (F.col("a") / pos > F.col("b") / neg)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-    hashes = np.array(sorted(np.uint64(r.feature & (2**64 - 1)) for r in best.orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES).collect()), np.uint64)
+    with_it, without = a + b, (pos + neg) - a - b
+    ratio = 2 * (part(a, with_it, pos) + part(b, with_it, neg) + part(pos - a, without, pos) + part(neg - b, without, neg))
+    best = counted.where(with_it >= LEAST_DOCUMENTS).withColumn("ratio", F.round(ratio, 9)).orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES)
+    hashes = np.array(sorted(np.uint64(r.feature & (2**64 - 1)) for r in best.collect()), np.uint64)
     if not len(hashes):
         return none
-    bags = sample.mapInArrow(_bags(hashes), "toxic int, sentences int, at array<int>, feature array<int>").collect()
-    weights, bias = _fit(bags, len(hashes), {k: totals[k] / sizes[k] for k in sizes})
-    return ToxicityModel(hashes, weights, bias)
+    bags = sample.mapInArrow(_bags(hashes), "toxic int, at array<int>, feature array<int>").collect()
+    weights, base = _fit(bags, len(hashes), {k: totals[k] / sizes[k] for k in sizes})
+    used = np.flatnonzero(weights)
+    return ToxicityModel(hashes[used], weights[used], base) if len(used) else ToxicityModel(none.hashes, none.weights, base)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, offending``: the document's probability, and its sentences of ``threshold`` or more.
 
     ``offending`` lists structs ``start, end, score`` in text order, in code points, end exclusive.
-    Null and empty texts have no sentences and score 0.  One row for each row of ``docs``.
+    Null and empty texts have no sentences and score the model's base rate, as any text without evidence.  One row for each row of ``docs``.
     """
     small_batches(docs.sparkSession)
-    hashes, weights, bias = model.hashes, model.weights, model.bias
+    hashes, weights, base = model.hashes, model.weights, model.base
     item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +280,11 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
                 which, number = look(feature)
                 sentence = np.searchsorted(starts, place[which], "right") - 1
                 pair = np.unique(sentence * np.int64(len(hashes)) + number)
-                z = np.bincount(pair // len(hashes), weights[pair % len(hashes)], len(starts)) + bias
-                log_q = np.concatenate(([0.0], np.cumsum(-np.logaddexp(0, z))))
-                result = -np.expm1(np.minimum(log_q[first_of[1:]] - log_q[first_of[:-1]], 0))
-                p = 1 / (1 + np.exp(-z))
+                z = np.bincount(pair // len(hashes), weights[pair % len(hashes)], len(starts))
+                own = hazard(z)
+                owner = np.searchsorted(at, starts, "right") - 1
+                result = np.clip(1 - (1 - base) * np.exp(-np.bincount(owner, own, last - first)), 0, 1)
+                p = -np.expm1(-own)
                 bad = np.flatnonzero(p >= threshold)
                 points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 ends = np.append(starts[1:], len(data))

@@ -1,7 +1,8 @@
 """WARC records in ZIP packages, written from a table of pages and read back by ranges.
 
 A package is a ZIP archive of stored members: ``archive/data.warc.gz``, in which each record is a gzip member of
-its own, ``indexes/index.cdxj`` and ``datapackage.json``.  The reader parses the end record, the ZIP64 end record and the central directory,
+its own, ``indexes/index.cdxj``, whose lines hold the sort-friendly URI, the timestamp and a record's range, and ``datapackage.json`` with
+the size and SHA-256 of both.  The reader parses the end record, the ZIP64 end record and the central directory,
 finds where a stored member's bytes begin from its local header, reads the index, and then reads
 each record by its range of the package.  Nothing is extracted.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import RangeReader, make_folder, open_input, open_output
-from .shared import materialise, shared_path, small_batches
+from .shared import join_unique, materialise, shared_path, small_batches
 
 PACKAGE_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -45,6 +46,12 @@ def _uri(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
 
 
+def sort_key(uri: str) -> str:
+    """A URI with its host's labels reversed and its scheme left out, in lower case and without spaces; "-" if there is none."""
+    host, slash, path = re.sub(r"^[a-z][a-z0-9+.-]*://", "", uri.lower()).partition("/")
+    return f"{','.join(reversed(host.split('.')))}){slash}{path}" if uri else "-"
+
+
 def make_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC record; ``refers_to`` makes it a revisit of that page."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -91,20 +98,26 @@ class PackageWriter:
     def __init__(self, uri: str):
         self.uri, self.out = uri, open_output(uri)
         self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED, allowZip64=True)
-        self.data, self.at, self.lines = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True), 0, []
+        self.data, self.at, self.lines, self.hash = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True), 0, [], hashlib.sha256()
 
     def add(self, page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> None:
         raw = gzip.compress(make_record(page_id, url, payload, refers_to), LEVEL, mtime=0)
         self.data.write(raw)
-        self.lines.append((page_id, self.at, len(raw)))
+        self.hash.update(raw)
+        self.lines.append((sort_key(_uri(url)), page_id, self.at, len(raw)))
         self.at += len(raw)
 
     def close(self) -> dict:
         self.data.close()
+        hashed, size = hashlib.sha256(), 0
         with self.zip.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as index:
-            for page_id, offset, length in sorted(self.lines):
-                index.write(f"{page_id} {json.dumps({'offset': offset, 'length': length})}\n".encode())
-        self.zip.writestr(zipfile.ZipInfo("datapackage.json"), json.dumps({"profile": "data-package", "resources": [{"path": DATA}, {"path": INDEX}]}))
+            for key, page_id, offset, length in sorted(self.lines):
+                line = f"{key} {re.sub('[^0-9]', '', DATE)} {json.dumps({'page_id': page_id, 'offset': offset, 'length': length})}\n".encode()
+                index.write(line)
+                hashed.update(line)
+                size += len(line)
+        resources = [{"path": DATA, "bytes": self.at, "hash": f"sha256:{self.hash.hexdigest()}"}, {"path": INDEX, "bytes": size, "hash": f"sha256:{hashed.hexdigest()}"}]
+        self.zip.writestr(zipfile.ZipInfo("datapackage.json"), json.dumps({"profile": "data-package", "resources": resources}))
         self.zip.close()
         self.out.close()
         return {"path": self.uri, "n_records": len(self.lines)}
@@ -171,7 +184,7 @@ def read_package(f) -> Iterator[dict]:
     archive = ZipReader(f)
     at, length = archive.locate(INDEX)
     base, _ = archive.locate(DATA)
-    entries = [json.loads(x.partition(b" ")[2]) for x in archive._read(at, length).splitlines()]
+    entries = [json.loads(x.split(b" ", 2)[2]) for x in archive._read(at, length).split(b"\n") if x]
     ranges = RangeReader(f)
     for e in sorted(entries, key=lambda e: e["offset"]):
         yield parse_record(gzip.decompress(ranges.read(base + e["offset"], e["length"])))
@@ -190,10 +203,19 @@ def write_packages(pages: DataFrame, folder: str | None = None, min_bytes: int =
     folder = folder or shared_path(pages.sparkSession, "warc")
     make_folder(folder)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).where("page_id is not null").withColumn("digest", F.sha1("payload"))
-    light = source.select("page_id", "digest", F.octet_length("payload").alias("size")).where(F.col("size") >= min_bytes)
-    first = light.groupBy("digest").agg(F.min("page_id").alias("response_id"), F.max("page_id").alias("most")).where("most > response_id").drop("most")
-    refers = light.join(first, "digest").where("page_id > response_id").select("page_id", "digest", "response_id").distinct()
-    records = source.groupBy("page_id", "digest").agg(F.min("url").alias("url"), F.first("payload").alias("payload")).join(refers, ["page_id", "digest"], "left").select("page_id", "url", "payload", "response_id")
+    # Only keys are shuffled to find out which records revisit others and which rows are one record.
+    keys = source.groupBy("page_id", "digest").agg(F.min("url").alias("only_url"), F.count("*").alias("rows"), F.max(F.octet_length("payload")).alias("size"))
+    keys = materialise(keys, "page-keys")
+    first = keys.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("response_id"), F.max("page_id").alias("most"), F.count("*").alias("n_rows"))
+    light = keys.where(F.col("size") >= min_bytes)
+    refers = join_unique(light, first.where("most > response_id").drop("most"), ["digest"], keys.count()).where("page_id > response_id").select("page_id", "digest", "response_id")
+    special = keys.join(refers, ["page_id", "digest"], "left").where("response_id is not null or rows > 1").select("page_id", "digest", "only_url", "rows", "response_id")
+    special = materialise(special, "page-links")
+    once = source.join(special, ["page_id", "digest"], "left").where("rows is null or rows = 1").select("page_id", "url", "payload", "response_id")
+    records = once
+    if not (repeated := special.where("rows > 1")).isEmpty():
+        again = source.join(repeated, ["page_id", "digest"]).groupBy("page_id", "digest").agg(F.min("only_url").alias("url"), F.min("payload").alias("payload"), F.min("response_id").alias("response_id"))
+        records = once.unionByName(again.select("page_id", "url", "payload", "response_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
@@ -236,4 +258,4 @@ def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(rows, _RECORD)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return packages.select("path").repartition("path").mapInArrow(run, schema)
+    return packages.select("path").repartition(max(1, packages.count())).mapInArrow(run, schema)  # a package is a task

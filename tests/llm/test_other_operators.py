@@ -213,6 +213,10 @@ def test_main_text():
         ("<article><p>x</p><script>never closed <p>y</p>", "x"),
         ("<article><p>x</p><!-- open <p>y</p>", "x"),
         ('<article><p title="a > b">x</p></article>', "x"),
+        ("<article><p>x" + "<a " * 30_000 + '"', "x"),
+        ("<article><p>x</p>" + "<a '" * 29_999, "x"),
+        ("<article>" + "<div>" * 30_000 + "x" + "</section>" * 30_000, "x"),
+        ("<p>a <b <i>c</i>", "a c"),
         ("<p>" + "long text here " * 30 + "</p><ul><li><a href=1>one</a><li><a href=2>two</a></ul>", ("long text here " * 30).strip()),
     ],
 )
@@ -220,6 +224,13 @@ def test_odd_pages(page, text):
     assert pages.main_text(page) == text
 
 
+def test_without_lists_the_distribution_decides():
+    long = "A sentence of the story that goes on for a while. " * 8
+    links = "".join(f'<li><a href="/{k}">Entry {k}</a></li>' for k in range(30))
+    page = f'<div id="a1"><ul>{links}</ul></div><div id="b2"><p>{long}</p><p>{long}</p></div><div><a href=x>Say</a> <a href=y>Join us</a></div>'
+    assert pages.main_text(page, lists=False) == f"{long.strip()}\n{long.strip()}" == pages.main_text(page)
+
+
 LONG = "A sentence of the story that goes on for a while. " * 8
 
 
@@ -276,7 +287,7 @@ def test_toxicity(spark, make_docs, labelled):
     held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 == 2]
     right = sum((got[i].score >= 0.3) == bool(y) for i, y in held)
     assert right / len(held) > 0.97 and all(0 <= r.score <= 1 for r in got.values())
-    assert got[901].score == got[902].score == 0 and got[902].offending == []
+    assert got[901].score == got[902].score == model.base < 0.1 and got[902].offending == []
     for i, y in held[:60]:
         text = rows[i][1]
         for s in got[i].offending:
@@ -300,13 +311,48 @@ def test_toxicity_without_labels(spark, make_docs):
 
 
 def test_noisy_or_gradient():
-    """The fit lowers its loss, and a document's probability is the noisy-or of its sentences."""
-    hashes = np.array([1, 2], np.uint64)
-    model = toxicity.ToxicityModel(hashes, np.array([3.0, -1.0]), -2.0)
-    data = np.frombuffer("Ab cd. Ef!".encode(), np.uint8)
-    starts, first = toxicity._sentences(toxicity.fold_case(data), np.array([0, len(data)]))
-    assert starts.tolist() == [0, 6] and first.tolist() == [0, 2]
-    assert model.bias == -2.0
+    """The gradients are those of finite differences."""
+    rng = np.random.default_rng(1)
+    n, docs, features = 40, 12, 9
+    doc_of, y = np.sort(rng.integers(0, docs, n)), rng.integers(0, 2, docs).astype(float)
+    sentence, feature = rng.integers(0, n, 90), rng.integers(0, features, 90)
+    importance = rng.random(docs)
+    w, leak = rng.normal(0, 1.5, features), -2.0
+    at = lambda w, leak: toxicity.objective(w, leak, y, importance, doc_of, sentence, feature)
+    _, by_weight, by_leak = at(w, leak)
+    for k in range(features):
+        e = np.eye(features)[k] * 1e-6
+        assert by_weight[k] == pytest.approx((at(w + e, leak)[0] - at(w - e, leak)[0]) / 2e-6, abs=1e-5)
+    assert by_leak == pytest.approx((at(w, leak + 1e-6)[0] - at(w, leak - 1e-6)[0]) / 2e-6, abs=1e-5)
+
+
+def test_score_is_the_noisy_or_of_sentences(spark, make_docs):
+    def feature(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return toxicity._features(raw, np.array([0, len(raw)]))[1][0]
+
+    weights = {"bad": 5.0, "awful": 4.5, "nice": -3.0}
+    pairs = sorted((feature(k), v) for k, v in weights.items())
+    model = toxicity.ToxicityModel(np.array([h for h, _ in pairs], np.uint64), np.array([v for _, v in pairs]), 0.02)
+    texts = ["", "plain. words", "a bad day. plain", "Bad? awful! bad nice", "plain words here. " * 5000, "nice. bad " + "x" * 100_000, "é BAD. é\nawful"]
+    got = {r.doc_id: r for r in toxicity.score(make_docs(list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        q, bad = 1 - 0.02, []
+        for m in re.finditer(r"[^.!?\n]+[.!?\n]*", t):
+            z = sum(v for k, v in weights.items() if k in re.findall(r"\w+", m[0].lower()))
+            p = 1 - np.exp(-max(0, np.logaddexp(0, z - 4) - np.logaddexp(0, -4)))
+            q *= 1 - p
+            bad += [(m.start(), m.end())] if p >= 0.3 else []
+        assert got[i].score == pytest.approx(1 - q, abs=1e-9)
+        assert [(s.start, s.end) for s in got[i].offending] == bad
+    assert got[4].score == pytest.approx(0.02)
+
+
+def test_labels_that_disagree_or_repeat(spark, make_docs, labelled):
+    rows, labels = labelled
+    twice = labels + [(i, 0) for i, y in labels if y] + labels[:200]
+    a, b = (toxicity.fit(make_docs(rows), spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, twice))
+    assert np.array_equal(a.hashes, b.hashes) and np.allclose(a.weights, b.weights) and a.base == pytest.approx(b.base)
 
 
 # --- queries and the pipeline -------------------------------------------------------------------------

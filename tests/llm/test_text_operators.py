@@ -29,7 +29,7 @@ def oracle(codec):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(zip(codec.tokens, codec.ranks)), special_tokens={})
 
 
-TEXT = st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "the", "'s", "'", "É", "ß", "1", "23", "!", "?!", "日本", "́", "😀", "zz", "\r\n", " \n", "\x1c", "\x85", "\xa0", "<|endoftext|>", "İ", "Σ", "Und,", "ª"]), max_size=14).map("".join)
+TEXT = st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "the", "'s", "'", "É", "ß", "1", "23", "!", "?!", "日本", "́", "😀", "zz", "\r\n", " \n", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "İ", "Σ", "Und,", "ª"]), max_size=14).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
@@ -76,9 +76,7 @@ def test_word_encoder_is_the_library(word_encoder, word_oracle, text):
 
 @pytest.fixture(scope="module")
 def word_oracle():
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 @pytest.fixture(scope="module")
@@ -86,17 +84,19 @@ def word_encoder():
     return token_files.WordEncoder(open(WORDS, encoding="utf-8").read())
 
 
-def test_token_store(spark, make_docs, word_oracle):
-    rows = EDGES + [(i, f"short text number {i}, again and again") for i in range(60)]
-    store = token_files.write_tokens(make_docs(rows), open(WORDS, encoding="utf-8").read())
+@pytest.mark.parametrize("most", [1 << 20, 7])
+def test_token_store(spark, make_docs, word_oracle, most):
+    rows = EDGES + [(i, f"short text number {i}, again and again<|endoftext|>") for i in range(60)] + [(7, "a repeated id")] * 12
+    store = token_files.write_tokens(make_docs(rows), open(WORDS, encoding="utf-8").read(), shard_documents=most)
     got = sorted((r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in token_files.read_tokens(spark, store).collect())
-    want, start = [], 0
+    want, start = [], 0  # rows of one id may stand in any order among themselves
     for i, t in sorted(((i, t or "") for i, t in rows if i is not None), key=lambda x: x[0]):
         ids = np.array([*word_oracle.encode(t, add_special_tokens=False).ids, 2], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    assert got == want
-    assert np.frombuffer(store.fetch(7), "<u4").tolist() == [*word_oracle.encode(rows[len(EDGES) + 7][1], add_special_tokens=False).ids, 2]
+    assert sorted((i, n) for i, _, n, _ in got) == sorted((i, n) for i, _, n, _ in want) and (most == 7) == (max(x[4] for x in store.shards) == 7)
+    assert [x for x in got if x[0] != 7] == [x for x in want if x[0] != 7]
+    assert np.frombuffer(store.fetch(8), "<u4").tolist() == [*word_oracle.encode(rows[len(EDGES) + 8][1], add_special_tokens=False).ids, 2]
     assert store.fetch(12345) is None
     with pytest.raises(ValueError, match="another dictionary"):
         token_files.ShardReader(store.shards[0][0], b"other")
