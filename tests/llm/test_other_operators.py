@@ -6,6 +6,7 @@ import io
 import random
 import re
 import struct
+import time
 import zipfile
 import zlib
 
@@ -104,7 +105,7 @@ def test_further_spans_and_redaction(make_docs):
     docs = make_docs(rows)
     model = pii.fit(docs)
     yes, no = zip(*model.reliability.values())
-    assert all(0 < p < 1 for p in yes + no) and model.reliability["known"][0] > model.reliability["known"][1]
+    assert all(0 < p < 1 for p in yes + no) and model.reliability["name", "known"][0] > model.reliability["name", "known"][1]
     got = {r.doc_id: r.s for r in pii.find_spans(docs, model).select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
     assert "local:" in got[3] and "phone:" in got[3] and "name:" in got[3] and got[101] == ""
     clean = pii.redact(docs, model)
@@ -115,10 +116,31 @@ def test_further_spans_and_redaction(make_docs):
     assert pii.fit(docs.limit(0)).weights == {} and pii.find_spans(docs.limit(0)).count() == 0
 
 
+def test_secrets_and_reliabilities_of_each_kind(make_docs):
+    rng = random.Random(2)
+    digits = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    rows = [(i, f'plain words token = "{digits(40, "0123456789abcdef")}" and more') for i in range(40)]
+    rows += [(100 + i, f"see chapter-{i}-of-the-handbook-of-things and so on") for i in range(40)]
+    docs = make_docs(rows)
+    got = {r.doc_id: r.s for r in pii.find_spans(docs).select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    assert all(f"secret:{rows[i][1].index(chr(34)) + 1}:{rows[i][1].rindex(chr(34))}" in got[i] for i in range(40)) and not any("secret" in got[100 + i] for i in range(40))
+    assert "<SECRET>" in pii.redact(docs).where("doc_id = 3").first().text
+
+
+def test_many_matches_in_one_text(make_docs):
+    text = "1.2.3.4 " * 120_000
+    start = time.time()
+    got = pii.find_spans(make_docs([(1, text), (2, "a@b.c " * 1000)])).select("doc_id", "text", F.filter("spans", lambda s: s.base).alias("s")).collect()
+    assert time.time() - start < 120
+    for r in got:
+        want = [(m.start(), m.end()) for m in re.finditer(r"\S+", r.text)]
+        assert [(s.start, s.end) for s in r.s if s.kind in (0, 1)] == want
+
+
 def test_personal_data_stays_in_the_jvm(make_docs):
     docs = make_docs([(1, "a@b.c")])
-    plan = pii.find_spans(docs)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+    for table in (pii.candidates(docs), pii.find_spans(docs), pii.find_spans(docs, pii.fit(docs))):
+        assert not re.search("Python|Arrow|Pandas|Exchange", table._jdf.queryExecution().executedPlan().toString())
 
 
 # --- archives -----------------------------------------------------------------------------------------
