@@ -7,35 +7,42 @@ filters slide over that image, each a contrast of sums that an integral image gi
 each answer is quantised to two bits in Gray code, and sixteen answers pack into one 32-bit code
 for each frame.
 
-Two recordings align where many of their codes are equal at one offset: offsets with ``LEAST_VOTES`` or more in the
+Two recordings align where many of their codes are equal at one offset.  Of a query's codes, those with one or two of
+the ``WEAK_BITS`` weakest bits turned, whose answers lay nearest to a threshold, are looked up too.  Offsets with ``LEAST_VOTES`` or more in the
 histogram are tried by falling votes until one aligns, and the share of differing bits decides how long a stretch agrees there.
-A stretch with fewer equal code changes is not found.  Recordings with equal fingerprints are one class, named by its least doc_id,
+A stretch with fewer such code changes is not found.  Recordings with equal fingerprints are one class, named by its least doc_id,
 and only classes are compared.
 
-Queries go to the executors in blocks of at most ``BLOCK_BYTES`` of codes, one pass over the fingerprints
-for each block.
+Queries are written to the shared folder in blocks of about ``BLOCK_BYTES``; each batch of recordings is read once and
+compared with one block after another, so the plan doesn't grow with the queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks
+from .files import open_input
 from .shared import materialise, small_batches
 
-RATE, FRAME, HOP = 4000, 128, 32
+#: A frame parts semitones from ``LOWEST`` on: two of its bins, the width of the window's main lobe from its middle, lie between them.
+RATE, FRAME, HOP = 4000, 512, 32
 WIDTH = 16
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25], np.float32)
-LOWEST, HIGHEST = 55.0, 1900.0
-LEAST_VOTES = 3
+LOWEST, HIGHEST = 440 * 2 ** (-9 / 12), 1900.0
+LEAST_VOTES = 1
 LEAST_OVERLAP = 8
-MOST_ERRORS = 0.15
-BLOCK_BYTES = 8 << 20
+MOST_ERRORS = 0.08
+WEAK_BITS = 4
+BLOCK_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
 
 
 def pitch_classes() -> np.ndarray:
@@ -112,17 +119,36 @@ def _levels() -> np.ndarray:
 _cached: list[np.ndarray] = []
 
 
-def fingerprints(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All codes, and the number of codes of each recording."""
+def fingerprints(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All codes, the places of the weakest bits of each, and the number of codes of each recording."""
     if not _cached:
         _cached.append(_levels())
+    levels = _cached[0]
     answers, n_codes = _answers(data, at)
-    level = (answers[:, None, :] > _cached[0][None]).sum(1)
+    level = (answers[:, None, :] > levels[None]).sum(1)
     gray = (level ^ level >> 1).astype(np.uint32)
     codes = np.zeros(len(level), np.uint32)
     for f in range(16):
         codes |= gray[:, f] << np.uint32(2 * f)
-    return codes, n_codes
+    # The bit that a Gray code changes at the middle threshold is its upper one, at the others its lower one.
+    distance = np.abs(answers[:, None, :] - levels[None]) / (levels[2] - levels[0])
+    nearest = distance.argmin(1)
+    weakest = np.argsort(distance.min(1), axis=1, kind="stable")[:, :WEAK_BITS]
+    weak = (2 * weakest + (np.take_along_axis(nearest, weakest, 1) == 1)).astype(np.uint8)
+    return codes, weak, n_codes
+
+
+_TURNED = [(), *combinations(range(WEAK_BITS), 1), *combinations(range(WEAK_BITS), 2)]
+
+
+def probes(codes: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """Each code, and what it is with one or two of its weakest bits turned."""
+    bit = np.uint32(1) << weak.astype(np.uint32)
+    out = np.repeat(codes[:, None], len(_TURNED), 1)
+    for k, turned in enumerate(_TURNED):
+        for j in turned:
+            out[:, k] ^= bit[:, j]
+    return out
 
 
 def _runs(codes: np.ndarray) -> np.ndarray:
@@ -150,47 +176,73 @@ def aligned(a: np.ndarray, b: np.ndarray, offset: int, least: int = LEAST_OVERLA
     return low + first, stop - first, int(errors[stop] - errors[first])
 
 
-def _searcher(queries: list[tuple[int, bytes]]):
-    ids = [q for q, _ in queries]
-    codes = [np.frombuffer(c, np.uint32) for _, c in queries]
-    at = [_runs(c) for c in codes]
-    code = np.concatenate([c[p] for c, p in zip(codes, at)]) if codes else np.zeros(0, np.uint32)
-    owner = np.repeat(np.arange(len(ids)), [len(p) for p in at])
-    place = np.concatenate(at) if at else np.zeros(0, np.int64)
-    order = np.argsort(code, kind="stable")
-    code, owner, place = code[order], owner[order], place[order]
-    item = pa.struct([("query_id", pa.int64()), ("offset", pa.int32()), ("start", pa.int32()), ("overlap", pa.int32()), ("bit_errors", pa.int64())])
+class Block:
+    """Queries (id, codes, weakest bits), with an index of their probes."""
 
-    def matches(own_id: int, mine: np.ndarray) -> list[dict]:
+    def __init__(self, queries: list[tuple[int, bytes, bytes]]):
+        self.ids = [q for q, _, _ in queries]
+        self.codes = [np.frombuffer(c, np.uint32) for _, c, _ in queries]
+        at = [_runs(c) for c in self.codes]
+        found = [probes(c[p], np.frombuffer(w, np.uint8).reshape(-1, WEAK_BITS)[p]) for c, p, (_, _, w) in zip(self.codes, at, queries)]
+        code = np.concatenate([x.reshape(-1) for x in found]) if found else np.zeros(0, np.uint32)
+        owner = np.repeat(np.arange(len(self.ids)), [len(_TURNED) * len(p) for p in at])
+        place = np.repeat(np.concatenate(at), len(_TURNED)) if at else np.zeros(0, np.int64)
+        order = np.argsort(code, kind="stable")
+        self.code, self.owner, self.place = code[order], owner[order], place[order]
+
+    def matches(self, own_id: int, mine: np.ndarray) -> list[dict]:
+        """The queries that align with a recording."""
         starts = _runs(mine)
-        low, high = np.searchsorted(code, mine[starts]), np.searchsorted(code, mine[starts], "right")
+        low, high = np.searchsorted(self.code, mine[starts]), np.searchsorted(self.code, mine[starts], "right")
         n = high - low
         if not n.sum():
             return []
         hit = np.repeat(low - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
-        offset = place[hit] - np.repeat(starts, n)
-        pair, votes = np.unique(owner[hit] * (1 << 40) + (offset + (1 << 39)), return_counts=True)
+        offset = self.place[hit] - np.repeat(starts, n)
+        pair, votes = np.unique(self.owner[hit] * (1 << 40) + (offset + (1 << 39)), return_counts=True)
         enough = votes >= LEAST_VOTES
         pair, votes = pair[enough], votes[enough]
         order = np.lexsort((pair, -votes, pair >> 40))
         out, last = [], -1
         for p in pair[order].tolist():
             q = p >> 40
-            if q == last or ids[q] == own_id:
+            if q == last or self.ids[q] == own_id:
                 continue
             shift = (p & (1 << 40) - 1) - (1 << 39)
-            start, overlap, errors = aligned(codes[q], mine, shift)
+            start, overlap, errors = aligned(self.codes[q], mine, shift)
             if overlap:
                 last = q
-                out.append({"query_id": ids[q], "offset": shift, "start": start, "overlap": overlap, "bit_errors": errors})
+                out.append({"query_id": self.ids[q], "offset": shift, "start": start, "overlap": overlap, "bit_errors": errors})
         return out
 
+
+def _searcher(paths: list[str]):
+    """Recordings (class_id, codes) in, those with matches among the queries of the files out."""
+    item = pa.struct([("query_id", pa.int64()), ("offset", pa.int32()), ("start", pa.int32()), ("overlap", pa.int32()), ("bit_errors", pa.int64())])
+
+    def searched(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        found = [[] for _ in rows]
+        for path in paths:
+            with open_input(path) as f:
+                table = pq.read_table(f, columns=["class_id", "codes", "weak"])
+            for part in table.to_batches(max_chunksize=256):
+                block = Block(list(zip(*(part.column(c).to_pylist() for c in ("class_id", "codes", "weak")))))
+                for own, (class_id, codes) in zip(found, rows):
+                    own += block.matches(class_id, codes)
+        keep = [k for k, f in enumerate(found) if f]
+        return pa.record_batch([pa.array([rows[k][0] for k in keep], pa.int64()), pa.array([found[k] for k in keep], pa.list_(item))], ["class_id", "found"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            found = [matches(i, np.frombuffer(c, np.uint32)) for i, c in zip(batch.column("class_id").to_pylist(), batch.column("codes").to_pylist())]
-            keep = np.flatnonzero([bool(f) for f in found])
-            if len(keep):
-                yield pa.record_batch([batch.column("class_id").take(pa.array(keep)), pa.array([found[k] for k in keep], pa.list_(item))], ["class_id", "found"])
+            for class_id, codes in zip(batch.column("class_id").to_pylist(), batch.column("codes").to_pylist()):
+                rows.append((class_id, np.frombuffer(codes, np.uint32)))
+                size += len(codes)
+                if size >= BATCH_BYTES:
+                    yield searched(rows)
+                    rows, size = [], 0
+        if rows:
+            yield searched(rows)
 
     return run
 
@@ -199,7 +251,8 @@ _MATCH = "array<struct<query_id:long,offset:int,start:int,overlap:int,bit_errors
 
 
 def fingerprint(recordings: DataFrame) -> DataFrame:
-    """``doc_id, codes``: the codes of the PCM bytes in column ``pcm``, as little-endian unsigned 32-bit integers.
+    """``doc_id, codes, weak``: the codes of the PCM bytes in column ``pcm``, as little-endian unsigned 32-bit integers, and the
+    places of the weakest bits of each, as bytes.
 
     Null recordings, and those of under ``LEAST_SAMPLES`` samples, have no codes.
     """
@@ -212,13 +265,14 @@ def fingerprint(recordings: DataFrame) -> DataFrame:
             at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
             data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
             for first, last in chunks(at):
-                codes, n = fingerprints(data[at[first] : at[last]], at[first : last + 1] - at[first])
+                codes, weak, n = fingerprints(data[at[first] : at[last]], at[first : last + 1] - at[first])
                 cut = np.concatenate(([0], np.cumsum(n)))
-                packed = [codes[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.record_batch([batch.column("doc_id").slice(first, last - first), pa.array(packed, pa.binary())], ["doc_id", "codes"])
+                both = zip(cut[:-1], cut[1:])
+                packed = [(codes[a:b].tobytes(), weak[a:b].tobytes()) for a, b in both]
+                yield pa.record_batch([batch.column("doc_id").slice(first, last - first), *(pa.array(x, pa.binary()) for x in zip(*packed))], ["doc_id", "codes", "weak"])
 
     small_batches(recordings.sparkSession)
-    return recordings.select("doc_id", "pcm").mapInArrow(run, "doc_id long, codes binary")
+    return recordings.select("doc_id", "pcm").mapInArrow(run, "doc_id long, codes binary, weak binary")
 
 
 def align(recordings: DataFrame, is_query) -> DataFrame:
@@ -226,25 +280,23 @@ def align(recordings: DataFrame, is_query) -> DataFrame:
 
     ``class_id`` is the least doc_id with equal codes.  ``matches`` stands on the row of that document and lists the
     query classes whose recordings align with it: ``query_id`` (the class), ``offset`` (code i of the query is beside
-    code i - offset), ``start``, ``overlap`` and ``bit_errors`` of the longest stretch that agrees; the class itself is not listed.  A recording without codes is
-    alone in its class and aligns with none.  Rows without doc_id are left out.
+    code i - offset), ``start``, ``overlap`` and ``bit_errors`` of the longest stretch that agrees at the offset of most votes that has one; the class itself is not
+    listed.  A recording without codes is
+    alone in its class and aligns with none.  Rows without doc_id are left out, other columns are ignored; rows that share a doc_id are each
+    returned.  Of equally tall peaks the least query and offset is tried first.  Silence and other held sounds have one code change and align with nothing.
     """
     marked = recordings.where("doc_id is not null")
     prints = materialise(fingerprint(marked), "fingerprints")
     full = prints.where(F.octet_length("codes") > 0)
-    classes = full.groupBy("codes").agg(F.min("doc_id").alias("class_id"), F.max(is_query).alias("asked"))
-    classes = materialise(classes, "recordings")
-    total = classes.where("asked").agg(F.sum(F.octet_length("codes"))).first()[0] or 0
-    n_blocks = max(1, -(-total // (BLOCK_BYTES // 2)))
-    found = None
-    for block in range(n_blocks):
-        asked = classes.where("asked").where(F.pmod(F.xxhash64("class_id"), F.lit(n_blocks)) == block).select("class_id", "codes").collect()
-        part = classes.select("class_id", "codes").mapInArrow(_searcher([(r.class_id, bytes(r.codes)) for r in asked]), f"class_id long, found {_MATCH}")
-        found = part if found is None else found.unionByName(part)
-    if n_blocks > 1:
-        found = found.groupBy("class_id").agg(F.flatten(F.collect_list("found")).alias("found"))
+    classes = full.groupBy("codes").agg(F.min(F.struct("doc_id", "weak")).alias("least"), F.max(is_query).alias("asked"))
+    classes = materialise(classes.select("codes", F.col("least.doc_id").alias("class_id"), F.col("least.weak").alias("weak"), "asked"), "recordings")
+    asked = classes.where("asked")
+    total = asked.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
+    blocks = materialise(asked.select("class_id", "codes", "weak").repartition(max(1, -(-total // BLOCK_BYTES))), "queries")
+    paths = sorted(r[0] for r in blocks.select(F.input_file_name()).distinct().collect())  # one for each block
+    found = classes.select("class_id", "codes").mapInArrow(_searcher(paths), f"class_id long, found {_MATCH}")
     found = found.withColumnRenamed("class_id", "doc_id")
-    with_codes = full.join(classes.drop("asked"), "codes").join(found, "doc_id", "left")
+    with_codes = full.drop("weak").join(classes.select("codes", "class_id"), "codes").join(found, "doc_id", "left")
     nothing = F.expr(f"cast(array() as {_MATCH})")
     matches = F.when(F.col("doc_id") == F.col("class_id"), F.coalesce(F.array_sort("found"), nothing)).otherwise(nothing)
     n_codes = (F.octet_length("codes") / 4).cast("long").alias("n_codes")

@@ -51,7 +51,7 @@ def test_alignment(spark):
 def test_codes_do_not_depend_on_neighbours():
     parts = [tune(k, 0.7) for k in range(4)] + [np.zeros(3, np.uint8), np.full(4000, 128, np.uint8)]
     at = np.cumsum([0] + [len(p) for p in parts])
-    codes, n = audio.fingerprints(np.concatenate(parts), at)
+    codes, _, n = audio.fingerprints(np.concatenate(parts), at)
     cut = np.concatenate(([0], np.cumsum(n)))
     for k, p in enumerate(parts):
         assert np.array_equal(codes[cut[k] : cut[k + 1]], audio.fingerprints(p, np.array([0, len(p)]))[0])
@@ -203,12 +203,47 @@ def test_lower_peaks_are_tried():
     a, b = (rng.integers(0, 2**32, 400, dtype=np.uint32) for _ in range(2))
     b[:240:20] = a[:240:20]  # the tallest peak, without a stretch
     b[301:311] = a[101:111]
-    table = pa.record_batch([pa.array([2], pa.int64()), pa.array([b.tobytes()], pa.binary())], ["class_id", "codes"])
-    (got,) = audio._searcher([(1, a.tobytes())])(iter([table]))
-    ((found,),) = got.column("found").to_pylist()
+    weak = np.tile(np.arange(audio.WEAK_BITS, dtype=np.uint8), (400, 1))
+    (found,) = audio.Block([(1, a.tobytes(), weak.tobytes())]).matches(2, b)
     assert (found["query_id"], found["offset"]) == (1, -200) and found["start"] <= 101 and found["start"] + found["overlap"] >= 111
 
 
+def test_probes_turn_the_weakest_bits():
+    x = tune(5)
+    codes, weak, _ = audio.fingerprints(x, np.array([0, len(x)]))
+    answers, levels = audio._answers(x, np.array([0, len(x)]))[0], audio._levels()
+    got = audio.probes(codes, weak)
+    for i in (0, 20, 77):
+        far = []
+        for f in range(16):
+            for t in range(3):
+                level = int((answers[i, f] > levels[:, f]).sum())
+                other = t if answers[i, f] > levels[t, f] else t + 1
+                if abs(other - level) == 1:
+                    bit = (level ^ level >> 1 ^ other ^ other >> 1) << 2 * f
+                    far.append((abs(answers[i, f] - levels[t, f]) / (levels[2, f] - levels[0, f]), f, bit))
+        nearest = {}
+        for d, f, bit in sorted(far):
+            nearest.setdefault(f, bit)
+        bits = list(nearest.values())[: audio.WEAK_BITS]
+        want = {int(codes[i])} | {int(codes[i]) ^ a for a in bits} | {int(codes[i]) ^ a ^ b for a in bits for b in bits if a != b}
+        assert set(got[i].tolist()) == want
+
+
+def test_recall_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    parts = [np.concatenate([tune(100 + k, 0.8), tune(200 + k % 3, 1.0)]) for k in range(12)] + [np.full(6000, 128, np.uint8), np.full(6000, 128, np.uint8), tune(1, 0.1)]
+    parts += [np.clip(p.astype(int) + rng.integers(-6, 7, len(p)), 0, 255).astype(np.uint8)[int(rng.integers(0, 900)) :] for p in parts[:12]]
+    rows = [(k, bytearray(p.tobytes())) for k, p in enumerate(parts)] + [(3, bytearray(parts[3].tobytes())), (50, bytearray())]
+    df = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, pcm binary, codes int, class_id int")
+    got = {r.doc_id: r for r in audio.align(df, F.col("doc_id") < 12).collect()}
+    codes = {i: np.frombuffer(bytes(r.codes), np.uint32) for i, r in got.items() if r.class_id == i and r.n_codes}
+    want = {(q, i) for q in range(12) for i in codes if i != q and any(audio.aligned(codes[q], codes[i], o)[1] for o in range(-len(codes[i]), len(codes[q])))}
+    found = {(m.query_id, i) for i, r in got.items() for m in r.matches}
+    assert found <= want and len(found) >= 0.9 * len(want) > 20
+    assert got[13].class_id == 12 and audio.align(df, F.col("doc_id") == 3).count() == len(rows)
+
+
 # --- pages --------------------------------------------------------------------------------------------
 
 FULL = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="page">
