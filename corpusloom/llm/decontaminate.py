@@ -14,8 +14,8 @@ are one more window.
 A candidate is verified by exact containment: the strings of the item's shingles are looked
 up among those of the document.
 
-Items travel to the executors in blocks of at most ``BLOCK_BYTES`` of text, one pass over the
-documents for each block, so what is broadcast is bounded whatever the size of the benchmark.
+Items are written to the shared folder in blocks of about half ``BLOCK_BYTES`` of text, which tasks read one after another,
+so nothing is broadcast, documents are read once, and the plan is the same whatever the size of the benchmark.
 """
 
 from __future__ import annotations
@@ -24,17 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, shingle_strings, shingles, utf8_parts, words
-from .shared import small_batches, without_ids
+from .files import open_input
+from .shared import materialise, small_batches, without_ids
 
 NGRAM = 5
 CONTAINMENT = 0.8
 RECALL = 0.9999
 MOST_UNIT = 16
 BLOCK_BYTES = 8 << 20
+_FOUND = "doc_id long, item_id long, n_shared long, n_item long"
 
 
 def hashes_needed(containment: float, recall: float) -> int:
@@ -124,27 +127,59 @@ def _searcher(items: list[tuple[int, str]], n: int, containment: float, count: i
                             k += 1
         return found
 
+    def search(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, at = utf8_parts(batch.column("text"))
+        for first, last in chunks(at):
+            own = at[first : last + 1] - at[first]
+            piece = data[at[first] : at[last]]
+            _, _, row, hashes = words(piece, own)
+            x, start = shingles(hashes, row, last - first, n)
+            rows = []
+            by_row: dict[int, list[int]] = {}
+            for i, k in candidates(x, start):
+                by_row.setdefault(i, []).append(k)
+            for i in sorted(by_row):
+                mine = shingle_strings(piece[own[i] : own[i + 1]].tobytes().decode("utf-8"), n)
+                for k in sorted(by_row[i]):
+                    shared = len(grams[k] & mine)
+                    if shared >= containment * len(grams[k]) - 1e-9:
+                        rows.append((batch.column("doc_id")[first + i].as_py(), ids[k], shared, len(grams[k])))
+            if rows:
+                cols = list(zip(*rows))
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_shared", "n_item"])
+
+    return search
+
+
+def _in_blocks(paths: list[str], n: int, containment: float, count: int):
+    """Documents in; their items out.  Batches gathered to ``BLOCK_BYTES`` meet the blocks of items one after another; a single block is indexed once."""
+
+    def searcher(path: str):
+        with open_input(path) as f:
+            table = pq.read_table(f, columns=["item_id", "text"])
+        return _searcher(list(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist())), n, containment, count)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(paths) == 1:
+            search = searcher(paths[0])
+            for batch in batches:
+                yield from search(batch)
+            return
+        held, size = [], 0
+
+        def all_blocks() -> Iterator[pa.RecordBatch]:
+            for path in paths:
+                search = searcher(path)
+                for batch in held:
+                    yield from search(batch)
+
         for batch in batches:
-            data, at = utf8_parts(batch.column("text"))
-            for first, last in chunks(at):
-                own = at[first : last + 1] - at[first]
-                piece = data[at[first] : at[last]]
-                _, _, row, hashes = words(piece, own)
-                x, start = shingles(hashes, row, last - first, n)
-                rows = []
-                by_row: dict[int, list[int]] = {}
-                for i, k in candidates(x, start):
-                    by_row.setdefault(i, []).append(k)
-                for i in sorted(by_row):
-                    mine = shingle_strings(piece[own[i] : own[i + 1]].tobytes().decode("utf-8"), n)
-                    for k in sorted(by_row[i]):
-                        shared = len(grams[k] & mine)
-                        if shared >= containment * len(grams[k]) - 1e-9:
-                            rows.append((batch.column("doc_id")[first + i].as_py(), ids[k], shared, len(grams[k])))
-                if rows:
-                    cols = list(zip(*rows))
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_shared", "n_item"])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                yield from all_blocks()
+                held, size = [], 0
+        yield from all_blocks()
 
     return run
 
@@ -163,14 +198,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, conta
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).where("item_id is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // (BLOCK_BYTES // 2)))
-    count = hashes_needed(containment, recall)
-    schema = "doc_id long, item_id long, n_shared long, n_item long"
-    out = None
-    for block in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
-        part = source.mapInArrow(_searcher([(r.item_id, r.text) for r in rows], n, containment, count), schema)
-        out = part if out is None else out.unionByName(part)
+    blocks = materialise(items.repartition(max(1, -(-total // (BLOCK_BYTES // 2)))), "items")
+    paths = sorted(r[0] for r in blocks.select(F.input_file_name()).distinct().collect())  # one for each block
+    if not paths:
+        return docs.sparkSession.createDataFrame([], _FOUND)
+    out = source.mapInArrow(_in_blocks(paths, n, containment, hashes_needed(containment, recall)), _FOUND)
     # A document and an item may each have several rows.
     return out.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
 

@@ -9,9 +9,10 @@ Plan
    member, a star, never all pairs.  Components of these links bound where pairs of
    0.8 or more can be.
 3. The texts of components with two nodes or more are shingled again and packed in
-   blocks of at most ``BLOCK_NODES`` nodes and about ``BLOCK_WORDS`` words.  Each pair of
-   blocks of a component is one task that counts all shared shingles by a matrix
-   product, so every pair inside a component is verified on its full shingle sets and
+   blocks of at most ``BLOCK_NODES`` nodes and about ``BLOCK_WORDS`` words.  Blocks of a component with
+   several are files of the shared folder, and a task reads one of them and, in turn, up to ``STRIP`` others that it is compared with;
+   what is shuffled are their paths.  Two blocks are compared by a matrix
+   product that counts all shared shingles, so every pair inside a component is verified on its full shingle sets and
    none is ever a row: a task returns each node's number of links and a spanning
    forest of them.
 4. Components of the forests are the classes.
@@ -23,23 +24,25 @@ other in every band still meet if a third text joins them in one component.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, mix, powers, shingles, utf8_parts, words
+from .files import make_folder, open_output, read_all
 from .graph import connected_components
-from .shared import materialise, small_batches, without_ids
+from .shared import join_unique, materialise, shared_path, small_batches, without_ids
 
 NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 BLOCK_NODES = 512
 BLOCK_WORDS = 1_500_000
+STRIP = 16
 _COLUMNS = 8192
 
 
@@ -201,39 +204,54 @@ def _verified(left: tuple, right: tuple | None, threshold: float) -> list[tuple]
     return [(k, c, None) for k, c in links.items()] + [(a, 0, b) for a, b in forest]
 
 
-def _as_frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame({name: pd.array([r[k] for r in rows], "Int64") for k, name in enumerate(("node", "links", "other"))})
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["node", "links", "other"])
 
 
-_PACKED = pa.schema([("root", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("grams", pa.binary())])
+_PACKED = pa.schema([("root", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("path", pa.string()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("grams", pa.binary())])
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (root, block) in; one row for each block out: its nodes, the sizes of their sets, and the sets."""
+def _pack(folder: str):
+    """Rows sorted by (root, block) in; one row for each block out: its nodes, the sizes of their sets, and the sets, or the path of a file with them."""
 
     def packed(key: tuple, rows: list) -> dict:
         nodes, sets = _united(np.array([r[0] for r in rows], np.int64), [r[1] for r in rows])
         sizes = np.array([len(s) for s in sets], np.int64)
-        return dict(zip(_PACKED.names, (*key, nodes.tobytes(), sizes.tobytes(), np.concatenate(sets).tobytes())))
+        parts = [nodes.tobytes(), sizes.tobytes(), np.concatenate(sets).tobytes()]
+        path = None
+        if key[2] > 1:
+            path = f"{folder}/{key[0]}-{key[1]}-{uuid.uuid4().hex}"
+            with open_output(path) as out:
+                out.write(len(nodes).to_bytes(8, "little") + b"".join(parts))
+            parts = [None] * 3
+        return dict(zip(_PACKED.names, (*key, path, *parts)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            out = []
+            for *at, node, grams in zip(*(batch.column(c).to_pylist() for c in ("root", "block", "blocks", "node", "grams"))):
+                if tuple(at) != key:
+                    if rows:
+                        out.append(packed(key, rows))
+                    key, rows = tuple(at), []
+                rows.append((node, grams))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, _PACKED)
+        if rows:
+            yield pa.RecordBatch.from_pylist([packed(key, rows)], _PACKED)
+
+    return run
 
-    key, rows = None, []
-    for batch in batches:
-        out = []
-        for *at, node, grams in zip(*(batch.column(c).to_pylist() for c in ("root", "block", "blocks", "node", "grams"))):
-            if tuple(at) != key:
-                if rows:
-                    out.append(packed(key, rows))
-                key, rows = tuple(at), []
-            rows.append((node, grams))
-        if out:
-            yield pa.RecordBatch.from_pylist(out, _PACKED)
-    if rows:
-        yield pa.RecordBatch.from_pylist([packed(key, rows)], _PACKED)
 
+def _unpack(nodes: bytes, sizes: bytes, grams: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    return np.frombuffer(nodes, np.int64), np.split(np.frombuffer(grams, np.uint64), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
 
-def _unpack(row) -> tuple[np.ndarray, list[np.ndarray]]:
-    sizes = np.frombuffer(row.sizes, np.int64)
-    return np.frombuffer(row.nodes, np.int64), np.split(np.frombuffer(row.grams, np.uint64), np.cumsum(sizes)[:-1])
+
+def _read_block(path: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    raw = read_all(path)
+    n = int.from_bytes(raw[:8], "little")
+    return _unpack(raw[8 : 8 + 8 * n], raw[8 + 8 * n : 8 + 16 * n], raw[8 + 16 * n :])
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -260,8 +278,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRES
     nodes = materialise(node_of.select("k1", "k2", F.col("least.doc_id").alias("node"), "n_copies", "n_words", F.col("least.bands").alias("bands")), "nodes")
 
     members = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
-    buckets = members.groupBy("band", "hash").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("band", "hash", "a")
-    stars = members.join(buckets, ["band", "hash"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    buckets = members.groupBy("band", "hash").agg(F.min("node").alias("a"), F.max("node").alias("most"), F.count("*").alias("n_rows")).where("a < most").select("band", "hash", "a", "n_rows")
+    stars = join_unique(members, buckets, ["band", "hash"], bands * nodes.count()).where("node <> a").select("a", F.col("node").alias("b")).distinct()
     near = connected_components(stars)
 
     sized = near.join(nodes.groupBy("node").agg(F.max("n_words").alias("n_words")), "node")
@@ -270,29 +288,31 @@ def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRES
     wanted = source.join(placed, F.col("doc_id") == F.col("node")).select("root", "block", "blocks", "node", "text")
     grams = wanted.mapInArrow(_shingle_sets(n), "root long, block int, blocks int, node long, grams binary")
 
+    folder = shared_path(docs.sparkSession, "gram-files")
+    make_folder(folder)
     packed = materialise(
-        grams.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(_pack, "root long, block int, blocks int, nodes binary, sizes binary, grams binary"),
+        grams.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(_pack(folder), "root long, block int, blocks int, path string, nodes binary, sizes binary, grams binary"),
         "gram-blocks",
     )
 
-    def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [r for row in frame.itertuples() for r in _verified(_unpack(row), None, threshold)]
-            yield _as_frame(rows)
-
-    def two(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) < 2:  # the hash left the other block empty
-            return _as_frame([])
-        left, right = (_unpack(row) for row in group.sort_values("block").itertuples())
-        return _as_frame(_verified(left, right, threshold))
-
-    paired = (
-        packed.where("blocks > 1")
-        .withColumn("other", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)")))
-        .select("root", "block", "nodes", "sizes", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    )
-    inside = packed.select("nodes", "sizes", "grams").repartition("nodes").mapInPandas(alone, _FOUND)
-    found = materialise(inside.unionByName(paired.groupBy("root", "i", "j").applyInPandas(two, _FOUND)), "links")
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+                yield _as_batch(_verified(_unpack(*parts) if path is None else _read_block(path), None, threshold))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, others in zip(batch.column("path").to_pylist(), batch.column("others").to_pylist()):
+                own = _read_block(path)
+                for other in others:
+                    yield _as_batch(_verified(own, _read_block(other), threshold))
+
+    # A block's file is small, so the row of a component's block is its path; a component of b blocks has b (b - 1) / 2 pairs of them.
+    several = packed.where("blocks > 1").select("root", "block", "path")
+    others = several.select("root", F.col("block").alias("j"), F.col("path").alias("other"))
+    strips = several.join(others, "root").where("block < j").groupBy("path", F.floor(F.col("j") / STRIP).alias("strip")).agg(F.collect_list("other").alias("others"))
+    inside = packed.select("path", "nodes", "sizes", "grams").repartition("path", "nodes").mapInArrow(alone, _FOUND)
+    found = materialise(inside.unionByName(strips.select("path", "others").mapInArrow(pairs, _FOUND)), "links")
 
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
