@@ -57,7 +57,7 @@ def norm_key(text: Column) -> Column:
 def token_key(text: Column, pair: LanguagePair = KAZAKH_RUSSIAN, least: int = 3) -> Column:
     """MD5 of the sorted words, whatever their order was; null under ``least`` words."""
     found = words(text, pair)
-    return F.when(F.size(found) >= least, F.md5(F.array_join(F.array_sort(found), " ").cast("binary")))
+    return F.when(F.size(found) >= least, F.md5(F.array_join(F.sort_array(found), " ").cast("binary")))
 
 
 def script_of(text: Column, pair: LanguagePair = KAZAKH_RUSSIAN) -> Column:

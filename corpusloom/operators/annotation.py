@@ -48,13 +48,13 @@ def is_done(r: str = "") -> Column:
 def press(sheet: DataFrame, keys: DataFrame) -> DataFrame:
     """``sheet`` after one key on each row of ``keys`` (comment_id, key), as the annotation interface takes it.
 
-    A skip clears the other labels and shuts them; ``u`` clears the row.  Unknown keys change nothing.
+    A skip clears the other labels and shuts them; ``u`` clears the row.  Unknown keys change nothing; of several keys of one comment the least counts.
     """
 
     def of(table: dict[str, str], value: Column) -> Column:
         return F.create_map(*(F.lit(x) for x in chain(*table.items())))[value]
 
-    pressed = keys.select("comment_id", F.col("key").alias("_key")).dropDuplicates(["comment_id"])
+    pressed = keys.groupBy("comment_id").agg(F.min("key").alias("_key"))
     key = F.lower("_key")
     s, d, b = of(SENTIMENT_KEYS, F.col("_key")), of(DENSITY_KEYS, key), of(LANGUAGE_KEYS, key)
     clear, open_row = key == "u", F.coalesce("sentiment", F.lit("")) != "skip"
@@ -73,7 +73,9 @@ def press(sheet: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def manifest_index(manifest: DataFrame, order: str = "line") -> DataFrame:
-    """One row for each comment: a draw before a retest, the last of equals."""
+    """One row for each comment: a draw before a retest, the last of equals; without a column ``order``, the least of equals by value."""
+    if order not in manifest.columns:
+        manifest = manifest.withColumn(order, F.lit(0))
     best = F.struct(F.coalesce(F.col("sample") == "retest", F.lit(False)), -F.col(order), *(c for c in manifest.columns if c not in ("comment_id", order)))
     kept = manifest.groupBy("comment_id").agg(F.min(best).alias("_b"))
     return kept.select("comment_id", *(F.col(f"_b.{c}").alias(c) for c in manifest.columns if c not in ("comment_id", order)))
@@ -137,22 +139,40 @@ def labelled_rows(sheet: DataFrame) -> DataFrame:
 def merge(sheets: DataFrame, clean: DataFrame, manifest: DataFrame, sentiments=SENTIMENTS, densities=DENSITIES, languages=LANGUAGES) -> DataFrame:
     """All sheet rows (file, line, ...) with ``outcome``: labelled, repeated, skipped, blank, invalid or unknown.
 
-    The first label of a comment wins.  Labelled rows carry the clean corpus's text and columns, and the manifest's sample
-    and inclusion probability, "" if it isn't there.
+    The first label of a comment wins.  Labelled rows carry the clean corpus's text and columns, those of its last row (by ``seq``, or by
+    value where it has none) if it repeats an id, and the sample and inclusion probability of ``manifest_index``, "" if it isn't there.  Each sheet row stays one row.
     """
     cid, sent, dens, lang = F.trim(F.coalesce("comment_id", F.lit(""))), cell(F.col("sentiment")), cell(F.col("density")), cell(F.col("base_lang"))
     valid = F.col("sentiment").isin(*(s for s in sentiments if s != "skip")) & F.col("density").isin(*densities) & F.col("base_lang").isin(*languages)
     rows = sheets.select("file", "line", cid.alias("comment_id"), sent.alias("sentiment"), dens.alias("density"), lang.alias("base_lang"), F.trim(F.coalesce("notes", F.lit(""))).alias("notes"))
     rows = rows.withColumn("outcome", F.when((F.col("comment_id") == "") | (F.col("sentiment") == ""), "blank").when(F.col("sentiment") == "skip", "skipped").when(~valid, "invalid"))
-    corpus = clean.select("comment_id", "text", "video_id", "n_tokens", "density_eligible", "screen_bucket").withColumn("_clean", F.lit(True))
+    carried = ("text", "video_id", "n_tokens", "density_eligible", "screen_bucket")
+    last = F.max(F.struct(*(c for c in ("seq",) if c in clean.columns), *carried)).alias("_c")
+    corpus = clean.groupBy("comment_id").agg(last).select("comment_id", *(F.col(f"_c.{c}").alias(c) for c in carried), F.lit(True).alias("_clean"))
     joined = rows.join(corpus, "comment_id", "left").withColumn("outcome", F.coalesce("outcome", F.when(F.col("_clean").isNull(), "unknown")))
     firsts = joined.where("outcome is null").groupBy("comment_id").agg(F.min(F.struct("file", "line")).alias("_first"))
     joined = joined.join(firsts, "comment_id", "left").withColumn("outcome", F.coalesce("outcome", F.when(F.struct("file", "line") == F.col("_first"), "labelled").otherwise("repeated")))
-    drawn = manifest.select("comment_id", "sample", "inclusion_prob")
+    drawn = manifest_index(manifest).select("comment_id", "sample", "inclusion_prob")
     blank = {c: F.coalesce(c, F.lit("")) for c in ("sample", "inclusion_prob")}
     return joined.drop("_clean", "_first").join(drawn, "comment_id", "left").withColumns(blank)
 
 
+def merge_summary(merged: DataFrame) -> DataFrame:
+    """``axis, value, n``: the outcomes of ``merge``, the labels of each axis among the labelled rows, and how many of them density is meant for."""
+    kept = F.col("outcome") == "labelled"
+    axes = F.array(
+        F.struct(F.lit("outcome").alias("axis"), F.col("outcome").alias("value")),
+        *(F.when(kept, F.struct(F.lit(a).alias("axis"), F.col(a).alias("value"))) for a in ("sentiment", "density", "base_lang")),
+        F.when(kept & F.col("density_eligible"), F.struct(F.lit("eligible").alias("axis"), F.lit("density").alias("value"))),
+    )
+    return merged.select(F.explode(F.array_compact(axes)).alias("x")).groupBy("x.axis", "x.value").agg(F.count("*").alias("n"))
+
+
+def answer_summary(accepted: DataFrame) -> DataFrame:
+    """``axis, value, n``: confidences and sentiments of accepted answers."""
+    return accepted.select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in ("confidence", "sentiment")))).alias("x")).groupBy("x.axis", "x.value").agg(F.count("*").alias("n"))
+
+
 # --- prompts and replies ----------------------------------------------------------------------------
 
 
@@ -237,7 +257,7 @@ def apply_answers(sheets: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def audit_queue(checked: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Rows for a human to audit, with the sheet's text, "" if no sheet has it."""
-    texts = sheets.select(F.trim("comment_id").alias("id"), "text").dropDuplicates(["id"])
+    """Rows for a human to audit, with the sheet's text, "" if no sheet has it and the least if several do."""
+    texts = sheets.groupBy(F.trim("comment_id").alias("id")).agg(F.min("text").alias("text"))
     blank = {c: F.lit("") for c in ("human_sentiment", "human_base_lang", "human_note")}
     return checked.join(texts, "id", "left").select(F.col("id").alias("comment_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("sentiment").alias("llm_sentiment"), F.col("base_lang").alias("llm_base_lang"), F.col("confidence").alias("llm_confidence"), F.col("note").alias("llm_note")).withColumns(blank)

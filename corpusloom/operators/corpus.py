@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.profiles import KAZAKH_RUSSIAN, LanguagePair
+from corpusloom.storage import materialise
 
 COPYPASTA_VIDEOS = 3
 
@@ -42,19 +43,36 @@ def copypasta_keys(rows: DataFrame, least: int = COPYPASTA_VIDEOS) -> DataFrame:
     return keyed.groupBy("norm_key").agg(F.count("*").alias("n_videos")).where(F.col("n_videos") >= least)
 
 
-def dedup(rows: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN, copypasta: int = COPYPASTA_VIDEOS) -> DataFrame:
-    """Routed rows with ``drop_reason``: the row rules, copypasta, exact and reordered duplicates; null for survivors.
+def keyed(rows: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN, *keep: str) -> DataFrame:
+    """``seq, video_id, status, reason, norm_key, token_key`` of routed rows, and the columns ``keep``: all that deduplication reads of a text."""
+    return rows.select("seq", "video_id", "status", "reason", T.norm_key(F.col("text")).alias("norm_key"), T.token_key(F.col("text"), pair).alias("token_key"), *keep)
+
 
-    Only survivors of one step take part in the next.  Duplicates are found by joining each key's least
-    ``seq`` back, so a key that many rows share is aggregated before it moves.
+def outcomes(keys: DataFrame, copypasta: int = COPYPASTA_VIDEOS) -> DataFrame:
+    """``keys`` with ``drop_reason``: the row rules, copypasta, exact and reordered duplicates; null for survivors.
+
+    Only survivors of one step take part in the next.  One aggregation by ``norm_key`` tells whether a text is copypasta and
+    which of its rows is the first that passed the rules; another, over those first rows alone, which of them is the first of
+    its ``token_key``.  Both are partially aggregated before they move.  ``keys`` is read three times, so it should be stored.
     """
-    keyed = rows.withColumns({"norm_key": T.norm_key(F.col("text")), "token_key": T.token_key(F.col("text"), pair)})
-    pasted = keyed.select("norm_key", "video_id").distinct().groupBy("norm_key").agg(F.count("video_id").alias("_n")).where(F.col("_n") >= copypasta).select("norm_key", F.lit(True).alias("_pasted"))
-    step1 = keyed.join(pasted, "norm_key", "left").withColumn("drop_reason", F.when(F.col("status") == "drop", F.col("reason")).when(F.col("_pasted"), "copypasta")).drop("_pasted")
-    exact = step1.where(F.col("drop_reason").isNull()).groupBy("norm_key").agg(F.min("seq").alias("_first"))
-    step2 = step1.join(exact, "norm_key", "left").withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("seq") > F.col("_first"), "exact_duplicate"))).drop("_first")
-    same = step2.where(F.col("drop_reason").isNull() & F.col("token_key").isNotNull()).groupBy("token_key").agg(F.min("seq").alias("_first"))
-    return step2.join(same, "token_key", "left").withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("seq") > F.col("_first"), "reordered_duplicate"))).drop("_first").select(*rows.columns, "norm_key", "token_key", "drop_reason")
+    passed = F.when(F.col("status") != "drop", F.struct("seq", "token_key"))
+    by_video = keys.groupBy("norm_key", "video_id").agg(F.min(passed).alias("first"))
+    texts = by_video.groupBy("norm_key").agg(F.min("first").alias("_first"), (F.count("video_id") >= copypasta).alias("_pasted"))
+    firsts = texts.where(~F.col("_pasted") & F.col("_first.token_key").isNotNull())
+    same = firsts.groupBy(F.col("_first.token_key").alias("token_key")).agg(F.min("_first.seq").alias("_earliest"))
+    reason = (
+        F.when(F.col("status") == "drop", F.col("reason"))
+        .when(F.col("_pasted"), "copypasta")
+        .when(F.col("seq") > F.col("_first.seq"), "exact_duplicate")
+        .when(F.col("seq") > F.col("_earliest"), "reordered_duplicate")
+    )
+    return keys.join(texts, "norm_key", "left").join(same, "token_key", "left").select(*keys.columns, reason.alias("drop_reason"))
+
+
+def dedup(rows: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN, copypasta: int = COPYPASTA_VIDEOS) -> DataFrame:
+    """Routed rows with ``norm_key, token_key, drop_reason``; texts are read once for their keys, which are stored, and once for the result."""
+    found = outcomes(materialise(keyed(rows, pair), "keys"), copypasta)
+    return rows.join(found.select("seq", "norm_key", "token_key", "drop_reason"), "seq").select(*rows.columns, "norm_key", "token_key", "drop_reason")
 
 
 # --- screen by closed word lists -------------------------------------------------------------------
@@ -144,26 +162,39 @@ def detect(pair: LanguagePair = KAZAKH_RUSSIAN) -> Column:
     return out
 
 
+def corpus_outcomes(raw: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN, max_chars: int = T.MAX_CHARS) -> DataFrame:
+    """The outcome of every row of ``raw`` (comment_id, video_id, source_file, text, seq, ...), the first of each comment, without its text.
+
+    Columns: ``seq, comment_id, video_id, source_file, status, reason, norm_key, token_key, n_tokens, screen_a, screen_b, screen_bucket, drop_reason,
+    language, pool, density_eligible``.  Texts are read twice: once for all that is known of a row by itself, which is stored, and once
+    for the languages of the rows kept.
+    """
+    own = ("comment_id", "source_file", "n_tokens", "screen_a", "screen_b", "screen_bucket")
+    rows = screen(route(clean_text(raw), pair, max_chars), pair).withColumn("n_tokens", T.n_tokens(F.col("text"), pair))
+    done = materialise(outcomes(first_by(materialise(keyed(rows, pair, *own), "keys"), "comment_id")), "outcomes")
+    kept = clean_text(raw.join(done.where(F.col("drop_reason").isNull()).select("seq"), "seq", "left_semi"))
+    language = language_scores(kept, pair).withColumn("language", detect(pair)).select("seq", "language").where("language is not null")
+    out = done.join(language, "seq", "left").withColumn("drop_reason", F.coalesce("drop_reason", F.concat(F.lit("other_language_"), "language")))
+    pool = F.when(F.col("language").isNotNull(), "otherlang").when(F.col("drop_reason").isNotNull(), None).when(F.col("status") == "romanized", "romanized").otherwise("clean")
+    return out.withColumns({"pool": pool, "density_eligible": F.col("status") == "ok"})
+
+
 def build_corpus(raw: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN, max_chars: int = T.MAX_CHARS) -> DataFrame:
-    """All rows of ``raw`` (comment_id, video_id, source_file, text, seq, ...) with their outcome.
+    """All rows of ``raw``, the first of each comment, with their cleaned text and their outcome.
 
     Adds ``drop_reason`` (null if kept), ``language``, ``pool`` (clean, romanized, otherlang or null), ``n_tokens``, the
     screen's columns and ``density_eligible``.  Rows of other languages are in their pool and also count as dropped.
     """
-    done = dedup(route(clean_text(first_by(raw, "comment_id")), pair, max_chars), pair)
-    kept = done.where(F.col("drop_reason").isNull())
-    language = language_scores(kept, pair).withColumn("language", detect(pair)).select(F.col("seq"), "language").where("language is not null")
-    out = done.join(language, "seq", "left").withColumn("drop_reason", F.coalesce("drop_reason", F.concat(F.lit("other_language_"), "language")))
-    pool = F.when(F.col("language").isNotNull(), "otherlang").when(F.col("drop_reason").isNotNull(), None).when(F.col("status") == "romanized", "romanized").otherwise("clean")
-    return screen(out, pair).withColumns({"pool": pool, "n_tokens": T.n_tokens(F.col("text"), pair), "density_eligible": F.col("status") == "ok"})
+    found = corpus_outcomes(raw, pair, max_chars)
+    return clean_text(raw).join(found.drop("comment_id", "video_id", "source_file"), "seq")
 
 
 def drop_report(done: DataFrame) -> DataFrame:
-    """``drop_reason, n, share`` of the dropped rows, with a row ``total``; shares are of all rows."""
+    """``drop_reason, n, share`` of the dropped rows, with a row ``total``; shares are of all rows.  One aggregation."""
     counts = done.groupBy("drop_reason").agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("whole"))
-    dropped = counts.where("drop_reason is not null").rollup("drop_reason").agg(F.sum("n").alias("n"))
-    return dropped.crossJoin(F.broadcast(whole)).select(F.coalesce("drop_reason", F.lit("total")).alias("drop_reason"), "n", (F.col("n") / F.col("whole")).alias("share"))  # one row
+    whole = F.sum("n").over(Window.partitionBy())  # over a row for each reason
+    shares = counts.withColumn("whole", whole).where("drop_reason is not null")
+    return shares.rollup("drop_reason").agg(F.sum("n").alias("n"), F.max("whole").alias("whole")).where("whole is not null").select(F.coalesce("drop_reason", F.lit("total")).alias("drop_reason"), "n", (F.col("n") / F.col("whole")).alias("share"))
 
 
 def input_counts(rows: DataFrame) -> DataFrame:

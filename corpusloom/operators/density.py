@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.profiles import KAZAKH_RUSSIAN, LanguagePair
+from corpusloom.storage import delete_shared, materialise
 
 SMOOTH = 0.5
 MIN_FREQ = 3
@@ -108,9 +109,10 @@ class DensityModel:
         spark.createDataFrame([params]).write.parquet(f"{folder}/params")
 
     def release(self) -> None:
-        """Give back what ``assemble`` keeps; the model's tables are then computed anew where they are used."""
+        """Delete the tables that ``assemble`` has stored; the model is of no use after that."""
         for table in (self.lexicon, self.chars, self.stripped):
-            table.unpersist()
+            if path := getattr(table, "shared_path", None):
+                delete_shared(table.sparkSession, path)
 
     @classmethod
     def load(cls, spark, folder: str, pair: LanguagePair = KAZAKH_RUSSIAN) -> DensityModel:
@@ -130,7 +132,7 @@ def build_lexicon(rows: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN, min_docu
     sizes = {r.side: r["count"] for r in sided.groupBy("side").count().collect()}  # three rows
     if min(sizes.get(pair.a, 0), sizes.get(pair.b, 0)) < min_documents:
         raise ValueError("too few monolingual documents to bootstrap from")
-    freq = word_frequencies(sided, pair).persist()
+    freq = materialise(word_frequencies(sided, pair), "frequencies")
     seeds = seed_words(freq, pair)
     counts = {r.lang: r["count"] for r in seeds.groupBy("lang").count().collect()}
     if min(counts.get(pair.a, 0), counts.get(pair.b, 0)) < min_seeds:
@@ -141,14 +143,13 @@ def build_lexicon(rows: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN, min_docu
 def assemble(freq: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN) -> DensityModel:
     """The model of a table of word frequencies.
 
-    Its tables grow with the vocabulary, not with the corpus, and are kept once computed (in memory, then on disk), so that
-    the texts are read once for them; a lost executor's part is computed again.
+    Its tables grow with the vocabulary, not with the corpus, and are stored, so that the texts are read once for them.
     """
-    freq = freq.persist()
-    seeds = seed_words(freq, pair).persist()
-    chars = char_model(seeds, pair).persist()
-    lexicon = resolve(freq, seeds, chars, pair).persist()
-    return DensityModel(lexicon, chars, stripped_forms(lexicon, pair).persist(), pair)
+    freq = materialise(freq, "frequencies")
+    seeds = materialise(seed_words(freq, pair), "seeds")
+    chars = materialise(char_model(seeds, pair), "characters")
+    lexicon = materialise(resolve(freq, seeds, chars, pair), "lexicon")
+    return DensityModel(lexicon, chars, materialise(stripped_forms(lexicon, pair), "stripped"), pair)
 
 
 def resolve(freq: DataFrame, seeds: DataFrame, chars: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN) -> DataFrame:
@@ -227,7 +228,8 @@ def fill_sheet(sheet: DataFrame, measured: DataFrame) -> DataFrame:
 
     ``measured`` has ``comment_id`` and the measure's columns.
     """
-    m = measured.where("density <> ''").select("comment_id", F.col("density").alias("_d"), F.col("base_lang").alias("_l")).dropDuplicates(["comment_id"])
+    least = F.min(F.struct("density", "base_lang"))  # of measures that disagree
+    m = measured.where("density <> ''").groupBy("comment_id").agg(least.alias("_m")).select("comment_id", F.col("_m.density").alias("_d"), F.col("_m.base_lang").alias("_l"))
     joined = sheet.join(m, "comment_id", "left")
     write = F.col("_d").isNotNull() & (F.trim(F.coalesce("sentiment", F.lit(""))) != "skip")
     blank = F.trim(F.coalesce("base_lang", F.lit(""))) == ""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.profiles import KAZAKH_RUSSIAN, LanguagePair
+from corpusloom.storage import materialise
 
 WORD_FEATURES = 50_000
 CHAR_FEATURES = 100_000
@@ -51,18 +52,30 @@ class Tfidf:
         return docs.select(key, F.explode(self.terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
     def fit(self, docs: DataFrame, key: str = "comment_id") -> Tfidf:
-        seen = self.counts(docs, key).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= self.min_df)
+        return self._fit(self.counts(docs, key), docs)
+
+    def _fit(self, counts: DataFrame, docs: DataFrame) -> Tfidf:
+        seen = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= self.min_df)
         kept = seen.orderBy(F.desc("total"), "term").limit(self.max_features)
         n = docs.agg(F.count("*").alias("_n"))
         self.vocabulary = kept.crossJoin(F.broadcast(n)).select("term", "df", "total", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
         return self
 
     def transform(self, docs: DataFrame, key: str = "comment_id") -> DataFrame:
+        return self._weights(self.counts(docs, key), key)
+
+    def fit_transform(self, docs: DataFrame, key: str = "comment_id") -> DataFrame:
+        """``fit`` and ``transform`` of the same texts, whose terms are counted once and stored."""
+        counts = materialise(self.counts(docs, key), "term-counts")
+        self._fit(counts, docs)
+        return self._weights(counts, key)
+
+    def _weights(self, counts: DataFrame, key: str) -> DataFrame:
         if self.vocabulary is None:
             raise ValueError("fit comes first")
-        raw = self.counts(docs, key).join(self.vocabulary.select("term", "idf"), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-        norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-        return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("_norm")).alias("weight"))
+        raw = counts.join(self.vocabulary.select("term", "idf"), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+        rows = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), F.collect_list(F.struct("term", "w")).alias("_t"))  # a text's own terms
+        return rows.select(key, "_norm", F.explode("_t").alias("_t")).select(key, F.col("_t.term").alias("term"), (F.col("_t.w") / F.col("_norm")).alias("weight"))
 
 
 def tfidf_word(pair: LanguagePair = KAZAKH_RUSSIAN, max_features: int = WORD_FEATURES) -> Tfidf:

@@ -61,17 +61,20 @@ def spread(rows: DataFrame, wanted: dict[str, int], stratum: str, video: str = "
     A row's round is its place within its video; only as many rounds as rows are wanted can matter, which
     the plan cuts off before it shuffles, and each stratum is then a top-k, not a sort of all.
     """
-    most = max([0, *wanted.values()])
+    wanted = {s: n for s, n in wanted.items() if n > 0}
+    most = max(wanted.values(), default=0)
     sizes = rows.groupBy(stratum, video).agg(F.count("*").alias("_size"))
     rounds = rows.withColumn("_round", F.row_number().over(Window.partitionBy(stratum, video).orderBy(shuffled(key, seed), key))).where(F.col("_round") <= most)
-    ranked = rounds.join(sizes, [stratum, video])
-    parts = [ranked.where(F.col(stratum) == s).orderBy("_round", F.desc("_size"), video).limit(n) for s, n in wanted.items() if n > 0]
-    out = reduce(DataFrame.unionByName, parts) if parts else ranked.limit(0)
-    return out.select(*rows.columns)
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("_round", F.desc("_size"), video))
+    ranked = rounds.join(sizes, [stratum, video]).withColumn("_place", place).where(F.col("_place") <= most)
+    enough = F.lit(0)
+    for s, n in wanted.items():
+        enough = F.when(F.col(stratum) == s, n).otherwise(enough)
+    return ranked.where(F.col("_place") <= enough).select(*rows.columns)
 
 
 def enriched_draw(pool: DataFrame, natural: DataFrame, budget: int, stratum: str = "density", strata: tuple[str, ...] = DENSITY_ORDER, take_all: tuple[str, ...] = (), include_short: bool = False, seed: int = SEED) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """The enriched sample, and (available, taken) of each stratum."""
+    """The enriched sample, and (available, taken) of each stratum.  ``pool`` is read several times and should be stored and narrow."""
     rest = pool.join(natural.select("comment_id"), "comment_id", "left_anti")
     if not include_short:
         rest = rest.where("density_eligible")

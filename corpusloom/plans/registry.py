@@ -20,6 +20,7 @@ from corpusloom.operators import features as FE
 from corpusloom.operators import folds as FO
 from corpusloom.operators import models as M
 from corpusloom.operators import sampling as S
+from corpusloom.storage import materialise
 
 from . import oracle as O
 from . import roles as R
@@ -60,12 +61,12 @@ def six(name: str):
 
 @query(O.sql(O.dedup(), "SELECT coalesce(drop_reason, 'total') AS drop_reason, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM deduped WHERE drop_reason IS NOT NULL GROUP BY ROLLUP (drop_reason)"))
 def drop_report(spark, sf_dir):
-    return C.drop_report(R.deduplicated(spark, sf_dir)).select("drop_reason", "n", six("share"))
+    return C.drop_report(R.outcomes(spark, sf_dir)).select("drop_reason", "n", six("share"))
 
 
 @query(O.sql(O.dedup(), "SELECT seq, status, drop_reason, norm_key, token_key FROM deduped"))
 def dedup_outcome(spark, sf_dir):
-    return R.deduplicated(spark, sf_dir).select("seq", "status", "drop_reason", "norm_key", "token_key")
+    return R.outcomes(spark, sf_dir).select("seq", "status", "drop_reason", "norm_key", "token_key")
 
 
 @query(O.sql(O.TXT, f"SELECT {O.NORM_KEY} AS norm_key, count(DISTINCT video_id) AS n_videos FROM txt GROUP BY 1 HAVING count(DISTINCT video_id) >= 3"))
@@ -104,7 +105,7 @@ def pilot_usable(spark, sf_dir):
 @query()
 def corpus_outcome(spark, sf_dir):
     """Every document's pool or reason, neighbour languages included."""
-    done = C.build_corpus(R.raw(spark, sf_dir), PAIR, R.NO_LIMIT)
+    done = C.corpus_outcomes(R.raw(spark, sf_dir), PAIR, R.NO_LIMIT)
     return done.select("comment_id", "pool", "drop_reason", "language", "n_tokens", "screen_a", "screen_b", "screen_bucket", "density_eligible")
 
 
@@ -190,7 +191,7 @@ def char_lm_counts(spark, sf_dir):
 
 @query(O.sql(O.chars() + ", asked AS (SELECT word FROM freq)," + O.llr("asked", "scored"), "SELECT word, round(llr, 6) AS llr FROM scored"))
 def word_llr(spark, sf_dir):
-    freq = _frequencies(spark, sf_dir).persist()
+    freq = materialise(_frequencies(spark, sf_dir), "frequencies")
     return D.word_llr(freq.select("word"), D.char_model(D.seed_words(freq, PAIR), PAIR)).select("word", six("llr"))
 
 
@@ -441,7 +442,7 @@ _WORD_TERMS = f"list_concat({_LOWER_TOKENS}, list_transform(range(1, len({_LOWER
 )
 def tfidf_word(spark, sf_dir):
     docs = R.labelled(spark, sf_dir)
-    return FE.tfidf_word(PAIR).fit(docs).transform(docs).select("comment_id", "term", six("weight"))
+    return FE.tfidf_word(PAIR).fit_transform(docs).select("comment_id", "term", six("weight"))
 
 
 @query(
@@ -456,7 +457,7 @@ terms AS (SELECT doc_id, unnest(CASE WHEN length(w) <= 3 THEN [w] ELSE list_conc
 )
 def tfidf_char(spark, sf_dir):
     docs = R.labelled(spark, sf_dir)
-    return FE.tfidf_char(PAIR).fit(docs).transform(docs).select("comment_id", "term", six("weight"))
+    return FE.tfidf_char(PAIR).fit_transform(docs).select("comment_id", "term", six("weight"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS length, round(v[1] / greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-9), 6) AS first FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)")

@@ -13,14 +13,22 @@ from corpusloom.functions import text as T
 from corpusloom.functions.profiles import FRENCH_ENGLISH as PAIR
 from corpusloom.operators import corpus as C
 from corpusloom.operators import sampling as S
+from corpusloom.storage import materialise
 
 #: Longer than any document, where length is not what a query is about.
 NO_LIMIT = 1_000_000_000
 REPRESENTATIONS = ("rep_a", "rep_b", "rep_c")
 
 
+#: Tables of whole texts.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver; one of texts that a scan would read in fewer tasks than there are cores, as one row group is one task, is dealt out to all."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +40,9 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.clean_text(raw(spark, sf_dir))
 
 
-def deduplicated(spark: SparkSession, sf_dir: str, max_chars: int = T.MAX_CHARS) -> DataFrame:
-    return C.dedup(C.route(cleaned(spark, sf_dir), PAIR, max_chars), PAIR)
+def outcomes(spark: SparkSession, sf_dir: str, max_chars: int = T.MAX_CHARS) -> DataFrame:
+    """Every document's outcome of routing and deduplication, without its text."""
+    return C.outcomes(materialise(C.keyed(C.route(cleaned(spark, sf_dir), PAIR, max_chars), PAIR), "keys"))
 
 
 def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +52,8 @@ def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sampling pool: every document, with its screen bucket as stratum."""
     n = T.n_tokens(F.col("text"), PAIR)
-    return screened(spark, sf_dir).select("comment_id", "video_id", "screen_bucket", n.alias("n_tokens"), (n >= T.MIN_DENSITY_TOKENS).alias("density_eligible"))
+    rows = screened(spark, sf_dir).select("comment_id", "video_id", "screen_bucket", n.alias("n_tokens"), (n >= T.MIN_DENSITY_TOKENS).alias("density_eligible"))
+    return materialise(rows, "pool")  # read by each step of a draw
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +90,4 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("doc_id").alias("comment_id"), "text", gold.alias("gold"), density.alias("density"), T.n_tokens(F.col("text"), PAIR).alias("n_tokens")).withColumn("stratum", T.stratum(F.col("gold"), F.col("density")))
 
 
-__all__ = ["PAIR", "S", "T", "C", "cleaned", "deduplicated", "labelled", "pool", "predictions", "raw", "screened", "sheets", "table"]
+__all__ = ["PAIR", "S", "T", "C", "cleaned", "labelled", "outcomes", "pool", "predictions", "raw", "screened", "sheets", "table"]

@@ -18,13 +18,18 @@ def write_corpus(done: DataFrame, folder: str) -> None:
 
 
 def append_new(spark: SparkSession, new: DataFrame, path: str, key: str = "comment_id") -> None:
-    """Append rows whose key the target lacks, one of each key: resuming a pull writes nothing twice."""
-    rows = new.dropDuplicates([key])
+    """Append rows whose key the target lacks, the first of each key: resuming a pull writes nothing twice.
+
+    First is the least ``seq``, which is not written; without that column, the least row by value.
+    """
+    columns = [c for c in new.columns if c not in (key, "seq")]
+    least = F.min(F.struct(*(c for c in ("seq",) if c in new.columns), *columns)).alias("_first")
+    rows = new.groupBy(key).agg(least).select(*(F.col(key) if c == key else F.col(f"_first.{c}").alias(c) for c in new.columns if c != "seq"))
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         rows = rows.join(spark.read.schema(f"{key} string").json(path).distinct(), key, "left_anti")
-    rows.select(*new.columns).write.mode("append").json(path)
+    rows.write.mode("append").json(path)
 
 
 def write_sheets(batched: DataFrame, folder: str) -> None:
@@ -54,7 +59,10 @@ def write_videos(videos: DataFrame, folder: str) -> None:
 
 
 def replace(df: DataFrame, folder: str, format: str = "parquet", **options) -> None:
-    """Put ``df`` in the place of ``folder``, which it may have been read from: written beside it, then renamed."""
+    """Put ``df`` in the place of ``folder``, which it may have been read from: written beside it, then renamed.
+
+    Where the second rename fails, the old folder is put back.
+    """
     spark = df.sparkSession
     fresh, old = f"{folder}.new-{uuid.uuid4().hex}", f"{folder}.old-{uuid.uuid4().hex}"
     df.write.format(format).options(**options).save(fresh)
@@ -64,5 +72,7 @@ def replace(df: DataFrame, folder: str, format: str = "parquet", **options) -> N
     if system.exists(paths[folder]) and not system.rename(paths[folder], paths[old]):
         raise OSError(f"{folder} can't be moved aside")
     if not system.rename(paths[fresh], paths[folder]):
+        if system.exists(paths[old]):
+            system.rename(paths[old], paths[folder])
         raise OSError(f"{fresh} can't be renamed")
     system.delete(paths[old], True)

@@ -85,8 +85,10 @@ def video_statistics(request: Request, ids: list[str]) -> list[dict]:
 
 
 def with_statistics(videos: DataFrame, statistics: DataFrame, min_comments: int = 200) -> DataFrame:
-    """Videos with their counts, 0 where there are none, those of ``min_comments`` or more."""
-    joined = videos.dropDuplicates(["video_id"]).join(statistics.select("video_id", "comment_count", "view_count"), "video_id", "left")
+    """Videos with their counts, 0 where there are none, those of ``min_comments`` or more; of rows that share an id, the least by value."""
+    columns = [c for c in videos.columns if c != "video_id"]
+    once = videos.groupBy("video_id").agg(F.min(F.struct(*columns)).alias("_v")).select("video_id", *(F.col(f"_v.{c}").alias(c) for c in columns)) if columns else videos.distinct()
+    joined = once.join(statistics.select("video_id", "comment_count", "view_count"), "video_id", "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("comment_count", "view_count")}).where(F.col("comment_count") >= min_comments)
 
 

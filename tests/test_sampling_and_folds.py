@@ -59,7 +59,7 @@ def test_draw(spark, pool):
 
 def test_draw_cuts_rounds_before_it_shuffles(spark, pool):
     plan = S.spread(pool, {"mono": 5}, "density")._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "TakeOrderedAndProject" in plan
+    assert plan.count("WindowGroupLimit") >= 4  # both windows are cut before they shuffle
 
 
 def test_small_and_empty_pools(spark, pool):

@@ -124,3 +124,13 @@ def test_latin_profile_keeps_latin(spark):
 def test_profiles_are_consistent(pair):
     assert len(pair.accents[0]) == len(pair.accents[1])
     assert not set(pair.screen_neutral) - set(pair.screen_shared) - set(pair.screen_a)
+
+
+def test_texts_are_read_once_for_the_report(spark, tmp_path):
+    from corpusloom.plans import registry
+
+    rows = [(i, "fr", "s", f"une phrase de texte numéro {i % 7} ici", 10) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("drop_report", "dedup_outcome", "corpus_outcome"):
+        plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f"{tmp_path}/documents.parquet") <= 1, name  # the first pass is stored already
