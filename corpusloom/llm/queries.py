@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from corpusloom.plans.roles import table as _table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

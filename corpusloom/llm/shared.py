@@ -1,48 +1,17 @@
-"""Shared storage: every intermediate result lives where all executors see it.
+"""What the operators share: intermediate tables of the shared folder, bounded Arrow batches, and joins with hot keys.
 
-Lineage is cut by writing Parquet under ``spark.checkpoint.dir``; a lost executor
-then costs the tasks it ran and never a finished stage.  Nothing is kept only on
-one machine.  Tables that later ones have replaced are deleted by ``discard``; those that a result still
+Tables that later ones have replaced are deleted by ``discard``; those that a result still
 reads stay until ``clear`` is called.
 """
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of local sessions that name none, by application.
-_own: dict[str, str] = {}
-#: What this process has written, by application.
-_written: dict[str, list[str]] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``.  A local session without one gets a temporary folder, deleted at exit; on a cluster that is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.applicationId not in _own:
-        folder = tempfile.mkdtemp(prefix="corpusloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _own[context.applicationId] = "file://" + folder
-    return _own[context.applicationId]
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
+from corpusloom.storage import clear, delete_shared, materialise, shared_path
 
 #: Rows of an Arrow batch: whole texts travel in them, so Spark's own default of 10,000 can mean tens of megabytes at once on either side.
 BATCH_ROWS = 1000
@@ -55,16 +24,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, with its lineage cut."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.shared_path = path
-    return out
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that nothing still to be computed reads, and let Spark's cleaner find the shuffle files of their stages.
 
@@ -77,19 +36,6 @@ def discard(*tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def delete_shared(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared store through Hadoop's file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all that operators have written for this application; results not yet written elsewhere are lost."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        delete_shared(spark, path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with marks behind it until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -119,3 +65,6 @@ def join_unique(many: DataFrame, one: DataFrame, keys: list[str], total: int, n:
     few = F.broadcast(one.where(hot).drop(n))
     cold = many.join(few.select(*keys), keys, "left_anti").join(one.where(~hot).drop(n), keys)
     return many.join(few, keys).unionByName(cold)
+
+
+__all__ = ["clear", "delete_shared", "discard", "fresh", "join_unique", "materialise", "shared_path", "small_batches", "without_ids"]
