@@ -289,9 +289,9 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
                 points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 ends = np.append(starts[1:], len(data))
                 owner = np.searchsorted(at, starts[bad], "right") - 1
-                base = points[at[owner]]
+                origin = points[at[owner]]
                 lists = [[] for _ in range(last - first)]
-                for o, s, e, q in zip(owner.tolist(), (points[starts[bad]] - base).tolist(), (points[ends[bad]] - base).tolist(), p[bad].tolist()):
+                for o, s, e, q in zip(owner.tolist(), (points[starts[bad]] - origin).tolist(), (points[ends[bad]] - origin).tolist(), p[bad].tolist()):
                     lists[o].append({"start": s, "end": e, "score": q})
                 yield pa.record_batch([batch.column("doc_id").slice(first, last - first), pa.array(result), pa.array(lists, pa.list_(item))], ["doc_id", "score", "offending"])
 
