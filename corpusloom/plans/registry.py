@@ -552,3 +552,6 @@ def majority_floor(spark, sf_dir):
 def top_sources(spark, sf_dir):
     got = R.table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("comment_count"))
     return got.orderBy(F.desc("comment_count"), "source").limit(10)
+
+
+from . import records  # noqa: E402, F401  (registers the queries over files)
