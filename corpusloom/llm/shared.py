@@ -60,8 +60,11 @@ def join_unique(many: DataFrame, one: DataFrame, keys: list[str], total: int, n:
 
     ``total`` is at least the number of rows of ``many``.  Hot keys, at most ``HOT_SHARE`` rows of ``one``, are
     broadcast, so their rows stay where they are; all others are shuffled, in groups of at most total / HOT_SHARE rows.
+    Without a hot key the plan is a plain join.
     """
     hot = F.col(n) > total // HOT_SHARE
+    if one.where(hot).isEmpty():
+        return many.join(one.drop(n), keys)
     few = F.broadcast(one.where(hot).drop(n))
     cold = many.join(few.select(*keys), keys, "left_anti").join(one.where(~hot).drop(n), keys)
     return many.join(few, keys).unionByName(cold)

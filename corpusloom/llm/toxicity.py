@@ -147,7 +147,7 @@ def _hits(hashes: np.ndarray):
 
 
 def _bags(hashes: np.ndarray):
-    """Rows (toxic, sentence numbers, feature numbers) of labelled documents."""
+    """Rows (toxic, sentence numbers, feature numbers) of labelled documents, the numbers as packed 32-bit integers."""
     look = _hits(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +163,10 @@ def _bags(hashes: np.ndarray):
                 cut = np.searchsorted(pair, first_of * np.int64(len(hashes)))
                 for i in range(last - first):
                     own = pair[cut[i] : cut[i + 1]]
-                    out.append((label[first + i], (own // len(hashes) - first_of[i]).tolist(), (own % len(hashes)).tolist()))
+                    out.append((label[first + i], (own // len(hashes) - first_of[i]).astype(np.int32).tobytes(), (own % len(hashes)).astype(np.int32).tobytes()))
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.record_batch(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int32()))],
+                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())],
                 ["toxic", "at", "feature"],
             )
 
@@ -196,12 +196,12 @@ def _fit(bags: list, n_features: int, class_weight: dict[int, float]) -> tuple[n
     importance /= importance.sum()
     doc_of, pair_sentence, pair_feature, n = [], [], [], 0
     for d, b in enumerate(bags):  # sentences without features have no say
-        used, local = np.unique(np.array(b.at, np.int64), return_inverse=True)
-        doc_of.append(np.full(len(used), d))
-        pair_sentence.append(local + n)
-        pair_feature.append(np.array(b.feature, np.int64))
+        used, local = np.unique(np.frombuffer(b.at, np.int32), return_inverse=True)
+        doc_of.append(np.full(len(used), d, np.int32))
+        pair_sentence.append((local + n).astype(np.int32))
+        pair_feature.append(np.frombuffer(b.feature, np.int32))
         n += len(used)
-    doc_of, pair_sentence, pair_feature = (np.concatenate(x).astype(np.int64) for x in (doc_of, pair_sentence, pair_feature))
+    doc_of, pair_sentence, pair_feature = (np.concatenate(x) for x in (doc_of, pair_sentence, pair_feature))
     share = float((importance * y).sum())
     penalty = LASSO * np.sqrt(share * (1 - share) * np.log(n_features + 1) / len(y))
     w, leak = np.zeros(n_features), float(np.log(max(share, 1e-6) / 2))
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS
     hashes = np.array(sorted(np.uint64(r.feature & (2**64 - 1)) for r in best.collect()), np.uint64)
     if not len(hashes):
         return none
-    bags = sample.mapInArrow(_bags(hashes), "toxic int, at array<int>, feature array<int>").collect()
+    bags = sample.mapInArrow(_bags(hashes), "toxic int, at binary, feature binary").collect()  # packed: at most 2 * MOST_PER_CLASS rows
     weights, base = _fit(bags, len(hashes), {k: totals[k] / sizes[k] for k in sizes})
     used = np.flatnonzero(weights)
     return ToxicityModel(hashes[used], weights[used], base) if len(used) else ToxicityModel(none.hashes, none.weights, base)
