@@ -1,7 +1,8 @@
 """A corpus pipeline: toxicity, near duplicates, benchmark passages, personal data, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.  All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``; other columns of ``docs``, whatever their names, are dropped.  Null texts
+count as empty, rows without doc_id stay in every filter, and an empty ``docs`` gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,27 +27,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold."""
+    """Documents that score under the threshold.
+
+    Null and empty texts score the base rate and stay; rows that share a doc_id go if one of them scores the threshold or more.
+    Without labels of both classes nothing can be learnt, and without toxic ones nothing goes.
+    """
     return without_toxic(docs, _table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class of near duplicates."""
+    """The document of least doc_id of each class of near duplicates.
+
+    Texts without words are alone in their class and stay; rows that share a doc_id are one document and stay or go together.
+    """
     return keep_one_of_each_class(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; with an empty benchmark, all of them.  Rows that share a doc_id go if one of them holds one."""
     return without_contaminated(docs, _table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with spans of personal data replaced by their kinds."""
+    """All documents, with spans of personal data replaced by their kinds; null texts stay null, repeated rows repeated."""
     return redact(docs).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, ids, n_tokens, text_sha256``: each document's ids, and the hash of the bytes that they decode to."""
+    """``doc_id, ids, n_tokens, text_sha256``: each document's ids, and the hash of the bytes that they decode to; one row for each row of ``docs``."""
     import public_tokenizers
 
     codec = BytePairCodec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
