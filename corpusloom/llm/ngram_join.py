@@ -11,7 +11,7 @@ Plan
 3. The texts of components with two nodes or more are shingled again and packed in
    blocks of at most ``BLOCK_NODES`` nodes and about ``BLOCK_WORDS`` words.  Blocks of a component with
    several are files of the shared folder, and a task reads one of them and, in turn, up to ``STRIP`` others that it is compared with;
-   what is shuffled are their paths.  Two blocks are compared by a matrix
+   what is shuffled are their paths.  Pairs within a block are verified where it is packed.  Two blocks are compared by a matrix
    product that counts all shared shingles, so every pair inside a component is verified on its full shingle sets and
    none is ever a row: a task returns each node's number of links and a spanning
    forest of them.
@@ -208,38 +208,35 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["node", "links", "other"])
 
 
-_PACKED = pa.schema([("root", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("path", pa.string()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("grams", pa.binary())])
+_PACKED = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64()), ("root", pa.int64()), ("block", pa.int32()), ("path", pa.string())])
 
 
-def _pack(folder: str):
-    """Rows sorted by (root, block) in; one row for each block out: its nodes, the sizes of their sets, and the sets, or the path of a file with them."""
+def _pack(folder: str, threshold: float):
+    """Rows sorted by (root, block) in; the links inside each block out, and a row with the path of its file for each block of a component with several."""
 
-    def packed(key: tuple, rows: list) -> dict:
+    def packed(key: tuple, rows: list) -> pa.RecordBatch:
+        root, block, blocks = key
         nodes, sets = _united(np.array([r[0] for r in rows], np.int64), [r[1] for r in rows])
-        sizes = np.array([len(s) for s in sets], np.int64)
-        parts = [nodes.tobytes(), sizes.tobytes(), np.concatenate(sets).tobytes()]
-        path = None
-        if key[2] > 1:
-            path = f"{folder}/{key[0]}-{key[1]}-{uuid.uuid4().hex}"
-            with open_output(path) as out:
-                out.write(len(nodes).to_bytes(8, "little") + b"".join(parts))
-            parts = [None] * 3
-        return dict(zip(_PACKED.names, (*key, path, *parts)))
+        out = [(*found, None, None, None) for found in _verified((nodes, sets), None, threshold)]
+        if blocks > 1:
+            path = f"{folder}/{root}-{block}-{uuid.uuid4().hex}"
+            sizes = np.array([len(s) for s in sets], np.int64)
+            with open_output(path) as file:
+                file.write(len(nodes).to_bytes(8, "little") + b"".join((nodes.tobytes(), sizes.tobytes(), np.concatenate(sets).tobytes())))
+            out.append((None, None, None, root, block, path))
+        return pa.record_batch([pa.array([r[k] for r in out], field.type) for k, field in enumerate(_PACKED)], schema=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
-            out = []
             for *at, node, grams in zip(*(batch.column(c).to_pylist() for c in ("root", "block", "blocks", "node", "grams"))):
                 if tuple(at) != key:
                     if rows:
-                        out.append(packed(key, rows))
+                        yield packed(key, rows)
                     key, rows = tuple(at), []
                 rows.append((node, grams))
-            if out:
-                yield pa.RecordBatch.from_pylist(out, _PACKED)
         if rows:
-            yield pa.RecordBatch.from_pylist([packed(key, rows)], _PACKED)
+            yield packed(key, rows)
 
     return run
 
@@ -291,15 +288,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRES
     folder = shared_path(docs.sparkSession, "gram-files")
     make_folder(folder)
     packed = materialise(
-        grams.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(_pack(folder), "root long, block int, blocks int, path string, nodes binary, sizes binary, grams binary"),
-        "gram-blocks",
+        grams.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(_pack(folder, threshold), "node long, links long, other long, root long, block int, path string"),
+        "links-inside",
     )
 
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, *parts in zip(*(c.to_pylist() for c in batch.columns)):
-                yield _as_batch(_verified(_unpack(*parts) if path is None else _read_block(path), None, threshold))
-
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, others in zip(batch.column("path").to_pylist(), batch.column("others").to_pylist()):
@@ -308,11 +300,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRES
                     yield _as_batch(_verified(own, _read_block(other), threshold))
 
     # A block's file is small, so the row of a component's block is its path; a component of b blocks has b (b - 1) / 2 pairs of them.
-    several = packed.where("blocks > 1").select("root", "block", "path")
+    several = packed.where("path is not null").select("root", "block", "path")
     others = several.select("root", F.col("block").alias("j"), F.col("path").alias("other"))
     strips = several.join(others, "root").where("block < j").groupBy("path", F.floor(F.col("j") / STRIP).alias("strip")).agg(F.collect_list("other").alias("others"))
-    inside = packed.select("path", "nodes", "sizes", "grams").repartition("path", "nodes").mapInArrow(alone, _FOUND)
-    found = materialise(inside.unionByName(strips.select("path", "others").mapInArrow(pairs, _FOUND)), "links")
+    across = materialise(strips.select("path", "others").mapInArrow(pairs, _FOUND), "links-across")
+    found = packed.where("path is null").select("node", "links", "other").unionByName(across)
 
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))

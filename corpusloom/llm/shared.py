@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 
 from corpusloom.storage import clear, delete_shared, materialise, shared_path
 
-#: Rows of an Arrow batch: whole texts travel in them, so Spark's own default of 10,000 can mean tens of megabytes at once on either side.
+#: Rows and bytes of an Arrow batch: whole texts travel in them, and Spark's own defaults, 10,000 rows or 64 MB, stand several times over in the JVM
+#: and in Python.  A row of more bytes is a batch of its own.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by ``BATCH_ROWS``, unless the session asks for fewer; takes effect for plans run from now on."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound Arrow batches by ``BATCH_ROWS`` and ``BATCH_BYTES``, unless the session asks for fewer; takes effect for plans run from now on."""
+    rows, size = (f"spark.sql.execution.arrow.max{what}PerBatch" for what in ("Records", "Bytes"))
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    at_most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size, "64m"))
+    if not 0 < at_most <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def discard(*tables: DataFrame) -> None:
