@@ -244,6 +244,22 @@ def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _ids(codec: BytePairCodec, texts: pa.Array) -> pa.Array:
+    return list_array([codec.encode(t) if t else b"" for t in texts.to_pylist()])
+
+
+def _decoded(codec: BytePairCodec, lists: pa.Array) -> pa.Array:
+    at = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.values.to_numpy()[at[0] : at[-1]]
+    data, ends = codec.decode_rows(flat, at - at[0])
+    out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+    return out.cast(pa.binary())
+
+
 def encode(docs: DataFrame, codec: BytePairCodec) -> DataFrame:
     """``doc_id, ids``: the ids of every whole text, one row for each row of ``docs``.
 
@@ -258,14 +274,14 @@ def encode(docs: DataFrame, codec: BytePairCodec) -> DataFrame:
         own = shared.value
         for batch in batches:
             for part in _slices(batch):
-                ids = [own.encode(t) if t else b"" for t in part.column("text").to_pylist()]
-                yield pa.record_batch([part.column("doc_id"), list_array(ids)], ["doc_id", "ids"])
+                yield pa.record_batch([part.column("doc_id"), _ids(own, part.column("text"))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, codec: BytePairCodec) -> DataFrame:
     """``encoded`` (doc_id, ids) with ``decoded``, the bytes of its ids; null ids count as none."""
+    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,10 +289,21 @@ def decode(encoded: DataFrame, codec: BytePairCodec) -> DataFrame:
         for batch in batches:
             for part in _slices(batch):
                 lists = part.column("ids")
-                at = lists.offsets.to_numpy().astype(np.int64)
-                flat = lists.values.to_numpy()[at[0] : at[-1]]
-                data, ends = own.decode_rows(flat, at - at[0])
-                out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.record_batch([part.column("doc_id"), lists, out.cast(pa.binary())], ["doc_id", "ids", "decoded"])
+                yield pa.record_batch([part.column("doc_id"), lists, _decoded(own, lists)], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
+def encode_and_decode(docs: DataFrame, codec: BytePairCodec) -> DataFrame:
+    """``decode(encode(docs))`` in one pass: a task has one Python worker with the codec's tables and memo in place of two."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(codec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for part in _slices(batch):
+                lists = _ids(own, part.column("text"))
+                yield pa.record_batch([part.column("doc_id"), lists, _decoded(own, lists)], ["doc_id", "ids", "decoded"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

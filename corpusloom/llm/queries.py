@@ -13,10 +13,10 @@ from corpusloom.plans.roles import table as _table
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import BytePairCodec, decode, encode
+    from .bpe import BytePairCodec, encode_and_decode
 
     codec = BytePairCodec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    found = decode(encode(_table(spark, sf_dir, "documents"), codec), codec)
+    found = encode_and_decode(_table(spark, sf_dir, "documents"), codec)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -60,6 +60,7 @@ def test_memo_keeps_to_its_size():
 def test_encode_and_decode_tables(make_docs, codec, oracle):
     docs = make_docs(EDGES)
     rows = bpe.decode(bpe.encode(docs, codec), codec).collect()
+    assert sorted(map(repr, bpe.encode_and_decode(docs, codec).collect())) == sorted(map(repr, rows))
     assert len(rows) == len(EDGES)
     want = sorted((str(i), tuple(oracle.encode_ordinary(t or "")), (t or "").encode()) for i, t in EDGES)
     assert sorted((str(r.doc_id), tuple(r.ids), bytes(r.decoded)) for r in rows) == want
