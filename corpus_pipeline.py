@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe import BytePairCodec, decode, encode
+from corpusloom.llm.bpe import BytePairCodec, encode_and_decode
 from corpusloom.llm.decontaminate import without_contaminated
 from corpusloom.llm.ngram_join import keep_one_of_each_class
 from corpusloom.llm.pii import redact
@@ -58,7 +58,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     codec = BytePairCodec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    found = decode(encode(docs, codec), codec)
+    found = encode_and_decode(docs, codec)
     return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("text_sha256"))
 
 
