@@ -44,6 +44,7 @@ BLOCK_NODES = 512
 BLOCK_WORDS = 1_500_000
 STRIP = 16
 _COLUMNS = 8192
+RANGE_VALUES = 400_000
 
 
 def choose_bands(threshold: float, recall: float, most_rows: int = 6) -> tuple[int, int]:
@@ -129,11 +130,11 @@ def _united(nodes: np.ndarray, grams: list[bytes]) -> tuple[np.ndarray, list[np.
     return np.array(order, np.int64), [sets[k] for k in order]
 
 
-def _links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs whose Jaccard similarity is at least ``threshold``."""
-    size_l, size_r = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the numbers of values that the sets of two lists share."""
+    size_l, size_r = [len(x) for x in left], [len(x) for x in right]
     value, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    split = int(size_l.sum())
+    split = sum(size_l)
     row_l, row_r = np.repeat(np.arange(len(left)), size_l), np.repeat(np.arange(len(right)), size_r)
     in_both = (np.bincount(column[:split], minlength=len(value)) > 0) & (np.bincount(column[split:], minlength=len(value)) > 0)
     dense = np.cumsum(in_both) - 1
@@ -152,6 +153,21 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) ->
             table[rows_[a:b], cols[a:b] - low] = 1
             parts.append(table)
         shared += parts[0] @ parts[1].T
+    return shared
+
+
+def _links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Boolean matrix of the pairs of sorted sets whose Jaccard similarity is at least ``threshold``.
+
+    Shared values are counted over ranges of hashes that hold about ``RANGE_VALUES`` each, so that memory is bounded for texts of any length.
+    """
+    size_l, size_r = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    n = int(size_l.sum() + size_r.sum()) // RANGE_VALUES + 1
+    edges = np.array([k * 2**64 // n for k in range(1, n)], np.uint64)
+    cuts_l, cuts_r = ([[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in side] for side in (left, right))
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for k in range(n):
+        shared += _shared([x[c[k] : c[k + 1]] for x, c in zip(left, cuts_l)], [x[c[k] : c[k + 1]] for x, c in zip(right, cuts_r)])
     total = size_l[:, None] + size_r[None, :] - shared
     return shared >= threshold * total - 1e-6
 
@@ -222,7 +238,8 @@ def _pack(folder: str, threshold: float):
             path = f"{folder}/{root}-{block}-{uuid.uuid4().hex}"
             sizes = np.array([len(s) for s in sets], np.int64)
             with open_output(path) as file:
-                file.write(len(nodes).to_bytes(8, "little") + b"".join((nodes.tobytes(), sizes.tobytes(), np.concatenate(sets).tobytes())))
+                for part in (len(nodes).to_bytes(8, "little"), nodes.tobytes(), sizes.tobytes(), *(x.tobytes() for x in sets)):
+                    file.write(part)
             out.append((None, None, None, root, block, path))
         return pa.record_batch([pa.array([r[k] for r in out], field.type) for k, field in enumerate(_PACKED)], schema=_PACKED)
 

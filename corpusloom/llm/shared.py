@@ -70,9 +70,10 @@ def join_unique(many: DataFrame, one: DataFrame, keys: list[str], total: int, n:
     hot = F.col(n) > total // HOT_SHARE
     if one.where(hot).isEmpty():
         return many.join(one.drop(n), keys)
-    few = F.broadcast(one.where(hot).drop(n))
-    cold = many.join(few.select(*keys), keys, "left_anti").join(one.where(~hot).drop(n), keys)
-    return many.join(few, keys).unionByName(cold)
+    mark = fresh(many.join(one, keys), "is_hot")
+    marked = many.join(F.broadcast(one.where(hot).drop(n).withColumn(mark, F.lit(True))), keys, "left")  # one broadcast for both branches
+    cold = marked.where(F.col(mark).isNull()).select(*many.columns).join(one.where(~hot).drop(n), keys)
+    return marked.where(mark).drop(mark).unionByName(cold)
 
 
 __all__ = ["clear", "delete_shared", "discard", "fresh", "join_unique", "materialise", "shared_path", "small_batches", "without_ids"]
