@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,18 +47,18 @@ SAMPLE_BYTES = 32 << 10
 SAMPLE_SLICES = 8
 SHARD_BYTES = 256 << 20
 SHARD_DOCUMENTS = 1 << 20
-MEMO_WORDS = 450_000
-MEMO_STEMS = 200_000
-#: White space of Python that the tokeniser doesn't know as such.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+MEMO_PIECES = 450_000
+#: Small and large letters of Latin-1, and ASCII marks behind them; either may be missing.
+_PLAIN = r"^(?P<stem>[A-Za-zªµºÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 class WordEncoder:
     """Ids of whole texts by a ``tokenizers`` file whose normaliser and splitter never cross white space.
 
-    Texts are cut at white space, and bounded memos keep the ids of words and stems.  Of words not met before, those of
-    plain letters go to the library's model, and all others through the library whole, as one pre-split sequence.  Texts that hold
-    an added token go through the library as they are.
+    Texts are cut at ASCII white space and each different word of a batch is looked at once, in Arrow and NumPy.  A plain word, Latin-1 letters with
+    ASCII marks behind them, is two pieces, its letters in small and its marks; any other word is one.  A bounded memo keeps the ids of
+    pieces.  Of those not met before, letters go to the library's model, and all others through the library whole, as one
+    pre-split sequence.  Texts that hold an added token go through the library as they are.
     """
 
     def __init__(self, definition: str):
@@ -68,79 +69,111 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.added = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
-        self.memo, self.old = {}, {}
-        self.stems = Memo(MEMO_STEMS)
+        self.memo = Memo(MEMO_PIECES)
         # What the splitter makes of each small letter: a word of such letters is one piece, which the model takes as it is.
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.letters = {ord(c): split(c)[0][0] for c in map(chr, range(256)) if c.isalpha() and c == c.lower()}
-        self.marks = {c: self._whole(c) for c in ".,!?;:"}
         # Only for files that treat plain words so.
-        probe = ["the", "Thé", "word.", "Ünd,", "naïveté!", "zzyzxß"]
-        known: dict[str, bytes] = {}
-        self.plain = not self._plain_words(probe, known) and all(known[w] == self._whole(w) for w in probe)
+        probe = ["the", "Thé", "word.", "Ünd,", "naïveté!", "zzyzxß", "...", "dogs'", "end.%%%", "Ça&&&", "ÀB_-'", "'"]
+        self.plain = True
+        self.plain = self.encode(probe) == [self._whole(w) for w in probe]
+        self.memo = Memo(MEMO_PIECES)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _plain_words(self, words: list[str], known: dict[str, bytes]) -> list[str]:
-        """Add the ids of words of Latin-1 letters, with at most one mark behind them, to ``known``; return the other words.
-
-        Capitals and marks make many forms of one stem, and only stems go to the model.
-        """
-        marks, stems, letters, tokenize, pack = self.marks, self.stems, self.letters, self.tokenizer.model.tokenize, struct.pack
-        rest = []
-        for w in words:
-            mark = marks.get(w[-1])
-            stem = w if mark is None else w[:-1]
-            if not stem.isalpha():
-                rest.append(w)
-                continue
-            if stem.isascii():
-                stem = spelled = stem.lower()
-            elif max(stem) <= "ÿ":
-                stem = stem.lower()
-                spelled = stem.translate(letters)
-            else:
-                rest.append(w)
-                continue
-            found = stems.new.get(stem)
-            if found is None:
-                found = stems.old.get(stem)
-                if found is None:
-                    ids = [t.id for t in tokenize(spelled)]
-                    found = pack(f"<{len(ids)}I", *ids)
-                if len(stem) <= 64:
-                    stems.put(stem, found)
-            known[w] = found if mark is None else found + mark
-        return rest
-
-    def _learn(self, words: list[str]) -> None:
-        if self.plain:
-            words = self._plain_words(words, self.memo)
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
+    def _of_letters(self, pieces: list[str]) -> list[bytes]:
+        letters, tokenize, pack = self.letters, self.tokenizer.model.tokenize, struct.pack
+        out = []
+        for piece in pieces:
+            ids = [t.id for t in tokenize(piece if piece.isascii() else piece.translate(letters))]
+            out.append(pack(f"<{len(ids)}I", *ids))
+        return out
+
+    def _of_any(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(pieces), 4096):
+            part = pieces[k : k + 4096]
             done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             raw = np.array(done.ids, "<u4").tobytes()
             cut = (np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(part) + 1)) * 4).tolist()
-            self.memo.update(zip(part, [raw[i:j] for i, j in zip(cut, cut[1:])]))
+            out += [raw[i:j] for i, j in zip(cut, cut[1:])]
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _pieces(self, pieces: pa.Array, learn) -> list[bytes]:
+        """Ids of different pieces, those not in the memo by ``learn``."""
+        pieces = pieces.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.memo.new.get, pieces))
+        unknown = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            found[i] = self.memo.get(pieces[i])
+            if found[i] is None:
+                unknown.append(i)
+        for i, ids in zip(unknown, learn([pieces[i] for i in unknown])):
+            found[i] = ids
+            if len(pieces[i]) <= 64:
+                self.memo.put(pieces[i], ids)
+        return found
+
+    def _words(self, words: pa.Array) -> "_Rows":
+        """Ids of different words."""
+        if not self.plain:
+            return _Rows.of(self._pieces(words, self._of_any))
+        parts = pc.extract_regex(words, _PLAIN)
+        stems = pc.utf8_lower(pc.struct_field(parts, "stem")).dictionary_encode()
+        marks = pc.struct_field(parts, "marks").dictionary_encode()
+        found = [*self._pieces(stems.dictionary, self._of_letters), *self._pieces(marks.dictionary, self._of_any)]
+        n_stems, n = len(stems.dictionary), len(found)
+        others = pc.is_null(parts).to_numpy(zero_copy_only=False)
+        found += self._pieces(words.filter(pa.array(others)), self._of_any)
+        found.append(b"")
+        pairs = np.empty((len(words), 2), np.int64)
+        pairs[:, 0] = pc.fill_null(stems.indices, 0).to_numpy(zero_copy_only=False)
+        pairs[:, 1] = pc.fill_null(marks.indices, 0).to_numpy(zero_copy_only=False)
+        pairs[:, 1] += n_stems
+        pairs[others, 0] = np.arange(n, len(found) - 1)
+        pairs[others, 1] = len(found) - 1
+        both = _Rows.of(found).take(pairs.ravel())
+        return _Rows(both.values, both.ends[1::2])
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special ids."""
-        whole = (*_ODD, *self.added)
-        split = [None if any(c in t for c in whole) else t.split() for t in texts]
-        words = set().union(*(s for s in split if s))
-        new = words - self.memo.keys()
-        again = new & self.old.keys()
-        self.memo.update((w, self.old[w]) for w in again)
-        self._learn(list(new - again))
-        get = self.memo.__getitem__
-        out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
-        for w in new:
-            if len(w) > 64:
-                del self.memo[w]
-        if len(self.memo) > MEMO_WORDS:  # what is met again moves back from the older half
-            self.memo, self.old = {}, self.memo
-        return out
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        whole = {}
+        for token in self.added:
+            held = pc.match_substring(texts, token)
+            if pc.any(held).as_py():
+                whole |= {i: self._whole(texts[i].as_py()) for i in np.flatnonzero(held.to_numpy(zero_copy_only=False)).tolist() if i not in whole}
+        if whole:
+            texts = pa.array(["" if i in whole else t for i, t in enumerate(texts.to_pylist())], texts.type)
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids = self._words(words.dictionary).take(words.indices.to_numpy())
+        offsets = split.offsets.to_numpy()
+        cut = (np.concatenate(([0], ids.ends))[offsets - offsets[0]] * 4).tolist()
+        raw = ids.values.tobytes()
+        return [whole[i] if i in whole else raw[a:b] for i, (a, b) in enumerate(zip(cut, cut[1:]))]
+
+
+@dataclass
+class _Rows:
+    """Rows of ids behind one another, and where each ends."""
+
+    values: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[bytes]) -> "_Rows":
+        return cls(np.frombuffer(b"".join(rows), "<u4"), np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) // 4))
+
+    def take(self, which: np.ndarray) -> "_Rows":
+        lengths = np.diff(self.ends, prepend=0)
+        starts, lengths = (self.ends - lengths)[which], lengths[which]
+        ends = np.cumsum(lengths)
+        at = np.repeat(starts - (ends - lengths), lengths)
+        at += np.arange(len(at))
+        return _Rows(self.values[at], ends)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -287,15 +320,13 @@ def write_tokens(docs: DataFrame, definition: str, folder: str | None = None, en
             return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
-                    if writer is None:
-                        writer = ShardWriter(f"{folder}/shard-{uuid.uuid4().hex}", shared.value[1])
-                    writer.add(doc_id, ids + tail)
-                    if writer.at >= SHARD_BYTES or len(writer.index) >= shard_documents:
-                        yield closed()
-                        writer, done = None, done + 1
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
+                if writer is None:
+                    writer = ShardWriter(f"{folder}/shard-{uuid.uuid4().hex}", shared.value[1])
+                writer.add(doc_id, ids + tail)
+                if writer.at >= SHARD_BYTES or len(writer.index) >= shard_documents:
+                    yield closed()
+                    writer, done = None, done + 1
         if writer is not None:
             yield closed()
 

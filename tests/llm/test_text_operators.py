@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -85,6 +86,33 @@ def word_encoder():
     return token_files.WordEncoder(open(WORDS, encoding="utf-8").read())
 
 
+ODD_WORDS = st.lists(st.sampled_from([" ", "\n", "\x0b", "\x0c", "\x1f", "\u2028", "\u3000", "word", "ÀÉ", "ÿ", "ŷ", "µ", "º", "×", "÷", "_", "'", "'s", "###", "&&&", ".%%%", "!!", "٣", "²", "e\u0301", "=\u0338", "<|endoftext|>", "x" * 70]), max_size=10).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(ODD_WORDS, max_size=6))
+def test_word_encoder_takes_several_texts(word_encoder, word_oracle, texts):
+    want = [np.array(word_oracle.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert word_encoder.encode(texts) == want == word_encoder.encode(pa.array(["", *texts])[1:])
+
+
+def test_forms_of_a_stem_share_its_ids(word_oracle):
+    class Counting:
+        def __init__(self, tokenizer):
+            self.own, self.model, self.n = tokenizer, tokenizer.model, 0
+
+        def encode(self, words, **options):
+            self.n += 1 if isinstance(words, str) else len(words)
+            return self.own.encode(words, **options)
+
+    encoder = token_files.WordEncoder(open(WORDS, encoding="utf-8").read())
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    marks = ["###", "&&&", ".%%%", "!!", ",***", "'", "?!"]
+    text = " ".join(case(f"st{a}m{b}é") + m for a in "abcdefgh" for b in "uvwxyz" for m in marks for case in (str, str.upper, str.title))
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == word_oracle.encode(text, add_special_tokens=False).ids
+    assert encoder.tokenizer.n <= len(marks) + 1  # each run of marks once, and no word whole
+
+
 @pytest.mark.parametrize("most", [1 << 20, 7])
 def test_token_store(spark, make_docs, word_oracle, most):
     rows = EDGES + [(i, f"short text number {i}, again and again<|endoftext|>") for i in range(60)] + [(7, "a repeated id")] * 12
