@@ -90,11 +90,19 @@ def read_folds(spark: SparkSession, path: str) -> DataFrame:
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
     """``reply, raw``: whole reply files, named without their ending."""
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("reply"), F.col("value").alias("raw"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("reply"), F.col("value").alias("raw"))
 
 
 def read_prompt_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PROMPT_INDEX).option("multiLine", True).json(path)
+    """``prompt, n, ids`` of every entry: one a line, as ``write_prompts`` leaves them, or all in one array, over any lines."""
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.left(F.trim("value"), F.lit(1)).alias("c")).head()
+    # By whole files, Spark reads one value a file and no more; by lines, only arrays that stand on one.
+    return spark.read.schema(schemas.PROMPT_INDEX).option("multiLine", first is not None and first.c == "[").json(path)
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """``prompt, body``: the prompt texts of ``write_prompts``."""
+    return spark.read.schema("body string, prompt string").text(path, wholetext=True).select("prompt", "body")
 
 
 def channel_sources(spark: SparkSession, path: str) -> DataFrame:

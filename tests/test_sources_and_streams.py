@@ -98,6 +98,22 @@ def test_prompt_files(spark, tmp_path):
     assert readers.read_replies(spark, f"{tmp_path}/reply_01.json").first().reply == "reply_01"
 
 
+def test_prompt_index_keeps_every_entry(spark, tmp_path):
+    rows = [(f"prompt_{i:02d}", 1, [str(i)], f"body {i}\nline") for i in range(7)]
+    sinks.write_prompts(spark.createDataFrame(rows, "prompt string, n long, ids array<string>, body string").coalesce(1), f"{tmp_path}/p")
+    assert sorted(r.ids[0] for r in readers.read_prompt_index(spark, f"{tmp_path}/p/index").collect()) == [str(i) for i in range(7)]
+    assert {r.prompt: r.body for r in readers.read_prompts(spark, f"{tmp_path}/p/prompts").collect()} == {r[0]: r[3] + "\n" for r in rows}
+    entries = [{"prompt": r[0], "n": r[1], "ids": r[2]} for r in rows]
+    for name, text in (("indented", json.dumps(entries, indent=1)), ("flat", json.dumps(entries)), ("empty", "")):
+        (tmp_path / name).write_text(text)
+        assert readers.read_prompt_index(spark, f"{tmp_path}/{name}").count() == (7 if text else 0)
+
+
+def test_reply_of_many_lines_is_one_row(spark, tmp_path):
+    (tmp_path / "reply_01.json").write_text('[\n{"id": "7"}\n]\n')
+    assert [r.raw for r in readers.read_replies(spark, f"{tmp_path}/reply_01.json").collect()] == ['[\n{"id": "7"}\n]\n']
+
+
 def make_api():
     # Nested, so that it travels to the workers by value.
     def fake_api(method, params):
