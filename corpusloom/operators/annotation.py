@@ -183,7 +183,7 @@ def prompts(sheets: DataFrame, instructions: str, per_prompt: int = 40, include_
     todo = sheets.where(F.trim(F.coalesce("comment_id", F.lit(""))) != "")
     if not include_annotated:
         todo = todo.where(F.trim(F.coalesce("sentiment", F.lit(""))) == "")
-    number = F.floor((F.row_number().over(Window.orderBy("file", "line")) - 1) / per_prompt) + 1
+    number = F.floor((F.row_number().over(Window.orderBy("file", "line", "comment_id")) - 1) / per_prompt) + 1
     item = F.concat(F.lit('{"id": "'), "comment_id", F.lit('", "text": '), flat_json(F.coalesce("text", F.lit(""))), F.lit("}"))
     got = todo.select(number.alias("k"), F.struct("file", "line", F.col("comment_id").alias("id"), item.alias("item")).alias("r")).groupBy("k").agg(F.sort_array(F.collect_list("r")).alias("r"), F.count("*").alias("n"))
     body = F.concat(F.lit(instructions), F.lit("\n## Комментарии ("), F.col("n").cast("string"), F.lit(" штук)\n\n"), F.array_join("r.item", "\n"), F.lit("\n\nВерни JSON-массив из ровно "), F.col("n").cast("string"), F.lit(" объектов.\n"))

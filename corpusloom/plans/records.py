@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import annotation as A
+from corpusloom.operators import corpus as C
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import features as FE
 from corpusloom.operators import folds as FO
@@ -259,11 +260,13 @@ def audit_queue(spark, sf_dir):
 
 @query(O.sql(_TWICE, "SELECT 'prompt_' || CASE WHEN k < 100 THEN lpad(CAST(k AS VARCHAR), 2, '0') ELSE CAST(k AS VARCHAR) END AS prompt, count(*) AS n, string_agg(comment_id, ',' ORDER BY file, line) AS ids FROM (SELECT *, (row_number() OVER (ORDER BY file, line) - 1) // 40 + 1 AS k FROM sheets WHERE sentiment = '') GROUP BY k"))
 def prompt_index(spark, sf_dir):
-    """Prompts over the rows without a label, written with their index and the index read."""
+    """Prompts over the texts of the rows without a label, written with their index; both are read, and comments counted in the prompts themselves."""
     path = _folder(spark, "prompts")
-    s = R.sheets(spark, sf_dir).withColumn("text", F.lit("text"))
+    s = C.clean_text(R.sheets(spark, sf_dir, F.col("text")))
     sinks.write_prompts(A.prompts(s, P.INSTRUCTIONS), path)
-    return readers.read_prompt_index(spark, f"{path}/index").select("prompt", F.col("n").cast("long").alias("n"), F.array_join("ids", ",").alias("ids"))
+    n = F.regexp_count("body", F.lit(r'(?m)^\{"id": "')).cast("long")
+    index = readers.read_prompt_index(spark, f"{path}/index").select("prompt", F.array_join("ids", ",").alias("ids"))
+    return index.join(readers.read_prompts(spark, f"{path}/prompts").select("prompt", n.alias("n")), "prompt").select("prompt", "n", "ids")
 
 
 # --- labelled corpus, predictions, folds --------------------------------------------------------------

@@ -6,7 +6,7 @@ annotators' sheets.  Every query reads whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -56,8 +56,8 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(rows, "pool")  # read by each step of a draw
 
 
-def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as sheets: quality is the sentiment, toxicity the base language, length the density."""
+def sheets(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Labelled documents as sheets: quality is the sentiment, toxicity the base language, length the density; ``more`` columns of a document follow."""
     j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return j.select(
         F.col("source").alias("file"),
@@ -67,6 +67,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_chars") % 13 == 0, "hi").when(F.col("n_chars") < 900, "mono").when(F.col("n_chars") < 1800, "low").otherwise("high").alias("density"),
         F.when(F.col("n_chars") % 17 == 0, "").when(F.col("toxic") == 1, "KK").otherwise("ru").alias("base_lang"),
         F.lit("").alias("notes"),
+        *more,
     )
 
 

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.storage import delete_shared, materialise
+
 CLEAN_COLUMNS = ("comment_id", "video_id", "source_file", "text", "n_tokens", "screen_kk", "screen_ru", "screen_bucket", "density_eligible", "like_count", "published_at")
 
 
@@ -49,9 +51,11 @@ def write_once(df: DataFrame, folder: str, force: bool = False) -> None:
 
 
 def write_prompts(prompted: DataFrame, folder: str) -> None:
-    """Prompt texts in ``prompt=...`` folders, replacing old ones, and their index."""
-    prompted.select("prompt", F.col("body").alias("value")).write.mode("overwrite").partitionBy("prompt").text(f"{folder}/prompts")
+    """Prompt texts in ``prompt=...`` folders, replacing all old ones, and their index, an entry a line; both of the same prompts, computed once."""
+    prompted = materialise(prompted, "prompts")
+    prompted.select("prompt", F.col("body").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("prompt").text(f"{folder}/prompts")
     prompted.select("prompt", "n", "ids").write.mode("overwrite").json(f"{folder}/index")
+    delete_shared(prompted.sparkSession, prompted.shared_path)
 
 
 def write_videos(videos: DataFrame, folder: str) -> None:

@@ -114,6 +114,16 @@ def test_reply_of_many_lines_is_one_row(spark, tmp_path):
     assert [r.raw for r in readers.read_replies(spark, f"{tmp_path}/reply_01.json").collect()] == ['[\n{"id": "7"}\n]\n']
 
 
+def test_prompt_query_writes_whole_texts(spark, monkeypatch):
+    from corpusloom.plans import records
+
+    bodies = []
+    monkeypatch.setattr(records.sinks, "write_prompts", lambda prompted, folder, own=sinks.write_prompts: (bodies.extend(r.body for r in prompted.collect()), own(prompted, folder))[1])
+    got = records.prompt_index(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(bodies) > 0 and sum(r.n for r in got) == sum(len(r.ids.split(",")) for r in got)
+    assert not any('"text": "text"' in b for b in bodies) and max(map(len, bodies)) > 10_000
+
+
 def make_api():
     # Nested, so that it travels to the workers by value.
     def fake_api(method, params):
