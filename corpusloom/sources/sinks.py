@@ -35,9 +35,9 @@ def append_new(spark: SparkSession, new: DataFrame, path: str, key: str = "comme
 
 
 def write_sheets(batched: DataFrame, folder: str) -> None:
-    """Sheets to fill in, a folder ``batch=...`` for each, with blank label columns."""
+    """Sheets to fill in, a folder ``batch=...`` for each, with blank label columns; a batch beyond one partition's advisory size becomes several files."""
     blank = {c: F.lit("") for c in ("sentiment", "density", "base_lang", "notes")}
-    batched.withColumns(blank).select("batch", "comment_id", "text", *blank).repartition("batch").write.partitionBy("batch").option("header", True).option("escape", '"').csv(folder)
+    batched.withColumns(blank).select("batch", "comment_id", "text", *blank).hint("rebalance", "batch").write.partitionBy("batch").option("header", True).option("escape", '"').csv(folder)
 
 
 def write_csv(df: DataFrame, folder: str, order: tuple[Column | str, ...] = ()) -> None:

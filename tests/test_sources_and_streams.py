@@ -90,6 +90,18 @@ def test_frozen_and_folds(spark, tmp_path):
     assert readers.read_sheets(spark, f"{tmp_path}/sheets/batch=b_01").first().text == 'x, "y"'
 
 
+def test_large_batch_is_several_files(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") < 3990, "big").otherwise("small").alias("batch"), F.col("id").cast("string").alias("comment_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k")
+    try:
+        sinks.write_sheets(rows, f"{tmp_path}/s")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {b: list((tmp_path / "s" / f"batch={b}").glob("*.csv")) for b in ("big", "small")}
+    assert len(files["big"]) > 3 and len(files["small"]) == 1 and max(f.stat().st_size for f in files["big"]) < 300_000
+    assert readers.read_batch(spark, f"{tmp_path}/s/batch=big").select("comment_id").distinct().count() == 3990
+
+
 def test_prompt_files(spark, tmp_path):
     prompted = spark.createDataFrame([("prompt_01", 1, ["7"], "body\nline")], "prompt string, n long, ids array<string>, body string")
     sinks.write_prompts(prompted, f"{tmp_path}/p")
