@@ -112,3 +112,33 @@ def test_query_predicts_all_folds(spark, monkeypatch):
     for name, want in (("tfidf_word", rows), ("xlmr", [r for r in rows if r.comment_id in vectors])):
         assert sorted((r.comment_id, r.fold) for r in got if r.representation == name) == sorted((r.comment_id, r.fold + 1) for r in want)
     assert set(found) == {FE.WORD_FEATURES}
+
+
+@pytest.mark.parametrize("make", [FE.tfidf_word, FE.tfidf_char])
+def test_terms_are_not_shuffled(spark, docs, make):
+    plan = make().fit(docs).transform(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("Join", "Generate")) and plan.count("ObjectHashAggregate") <= 2
+
+
+def test_texts_of_a_repeated_id_are_one_document(spark):
+    rows = spark.createDataFrame([(1, "bon mot"), (1, "mot juste"), (2, "bon mot juste"), (3, None)], "comment_id long, text string")
+    got = {(r.comment_id, r.term): r.weight for r in FE.tfidf_word().fit_transform(rows).collect()}
+    assert set(got) == {(k, t) for k in (1, 2) for t in ("bon", "mot", "juste", "bon mot", "mot juste")} and got[1, "mot"] > got[1, "bon"]
+
+
+def test_few_terms_at_once_change_nothing(spark, docs, monkeypatch):
+    for name in ("MOST_TERMS", "MOST_UNITS", "MOST_ROWS"):
+        monkeypatch.setattr(FE, name, 2)
+    monkeypatch.setattr(FE, "TEXTS_AT_ONCE", 1)
+    number, rows = {}, [[t.split() if t else []] for t in TEXTS]
+    batch = FE.pa.record_batch([FE.pa.array(rows, FE.pa.list_(FE.pa.list_(FE.pa.string()))), FE.pa.array([0] * len(rows))], ["pieces", "part"])
+    for units, grams in ((FE.word_units, None), (list, FE.word_grams)):
+        out = [r for b in FE._seen(units, grams)(iter([batch])) for r in b.to_pylist()]
+        assert len(out) > len({r["term"] for r in out})
+        df, total = Counter(), Counter()
+        for texts in rows:
+            c = Counter(g for u in units(texts[0]) for g in (grams(u) if grams else [u]))
+            df.update(c.keys())
+            total.update(c)
+        for name, want in (("df", df), ("total", total)):
+            assert {t: sum(r[name] for r in out if r["term"] == t) for t in want} == want
