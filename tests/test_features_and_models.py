@@ -142,3 +142,9 @@ def test_few_terms_at_once_change_nothing(spark, docs, monkeypatch):
             total.update(c)
         for name, want in (("df", df), ("total", total)):
             assert {t: sum(r[name] for r in out if r["term"] == t) for t in want} == want
+
+
+def test_repeated_ids_have_one_prediction_a_row(spark):
+    rows = spark.createDataFrame([(i // 2, "good video thanks" if i % 4 < 2 else "bad dull video", "pos" if i % 4 < 2 else "neg", "mono", 3, i // 2 % 5) for i in range(40)], "comment_id long, text string, gold string, density string, n_tokens int, fold long")
+    got = M.cross_validate(rows, "tfidf_word", FE.tfidf_word).collect()
+    assert sorted((r.comment_id, r.fold) for r in got) == sorted((i // 2, i // 2 % 5 + 1) for i in range(40)) and all(r.gold == r.pred for r in got)
