@@ -6,10 +6,13 @@ the n-gram counts are tables, so they may outgrow a broadcast; the planner decid
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from corpusloom.functions import text as T
 from corpusloom.functions.profiles import KAZAKH_RUSSIAN, LanguagePair
@@ -21,6 +24,8 @@ LLR_MARGIN = 0.35
 MOST_WEIGHT = 50
 MIN_DOCUMENTS = 100
 MIN_SEEDS = 200
+#: Words whose languages are broadcast, and texts that a worker unpacks at once.
+MOST_COMMON, TEXTS_AT_ONCE = 200_000, 32
 
 
 def document_sides(rows: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN) -> DataFrame:
@@ -94,12 +99,16 @@ def by_llr(llr: Column, pair: LanguagePair) -> Column:
 
 @dataclass
 class DensityModel:
-    """``lexicon`` (word, lang, confident), ``chars`` as of ``char_model``, ``stripped`` (form, collision)."""
+    """``lexicon`` (word, lang, confident), ``chars`` as of ``char_model``, ``stripped`` (form, collision).
+
+    ``frequencies`` (word, n), if known, only say which words are worth a broadcast; results don't depend on them.
+    """
 
     lexicon: DataFrame
     chars: DataFrame
     stripped: DataFrame
     pair: LanguagePair = KAZAKH_RUSSIAN
+    frequencies: DataFrame | None = None
 
     def save(self, folder: str) -> None:
         for name in ("lexicon", "chars", "stripped"):
@@ -110,7 +119,7 @@ class DensityModel:
 
     def release(self) -> None:
         """Delete the tables that ``assemble`` has stored; the model is of no use after that."""
-        for table in (self.lexicon, self.chars, self.stripped):
+        for table in (self.lexicon, self.chars, self.stripped, self.frequencies):
             if path := getattr(table, "shared_path", None):
                 delete_shared(table.sparkSession, path)
 
@@ -149,7 +158,7 @@ def assemble(freq: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN) -> DensityMod
     seeds = materialise(seed_words(freq, pair), "seeds")
     chars = materialise(char_model(seeds, pair), "characters")
     lexicon = materialise(resolve(freq, seeds, chars, pair), "lexicon")
-    return DensityModel(lexicon, chars, materialise(stripped_forms(lexicon, pair), "stripped"), pair)
+    return DensityModel(lexicon, chars, materialise(stripped_forms(lexicon, pair), "stripped"), pair, freq)
 
 
 def resolve(freq: DataFrame, seeds: DataFrame, chars: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN) -> DataFrame:
@@ -186,22 +195,59 @@ def word_languages(words: DataFrame, model: DensityModel) -> DataFrame:
     return first.where("lang is not null").unionByName(rest)
 
 
+def _counted(languages, a: str, b: str):
+    """Batches (seq, w) to what common words, of a broadcast Arrow table (word, lang), say of each text, and its other words: ``word, c, first``."""
+
+    def run(batches):
+        known = dict(zip(languages.value.column("word").to_pylist(), languages.value.column("lang").to_pylist()))
+        for batch in batches:
+            for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                piece = batch.slice(first, TEXTS_AT_ONCE)
+                out: list[list] = [[] for _ in range(8)]
+                for words in piece.column("w").to_pylist():
+                    at: dict[str, int] = {}
+                    for pos, w in enumerate(words):
+                        at.setdefault(w, pos)
+                    n = Counter(words)
+                    votes, opening, rare = {a: 0, b: 0, "shared": 0}, (None, None), []
+                    for w, pos in at.items():  # by first place
+                        if (lang := known.get(w)) is None:
+                            rare.append(w)
+                        elif lang in votes:
+                            votes[lang] += n[w]
+                            if opening[0] is None and lang != "shared":
+                                opening = (pos, lang)
+                    for x, value in zip(out, (*votes.values(), *opening, rare, [n[w] for w in rare], [at[w] for w in rare])):
+                        x.append(value)
+                kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.record_batch([piece.column("seq"), *(pa.array(x, k) for x, k in zip(out, kinds))], ["seq", "a", "b", "shared", "pos", "lang", "word", "c", "first"])
+
+    return run
+
+
 def measure(rows: DataFrame, model: DensityModel) -> DataFrame:
     """``rows`` with ``a, b, shared, counted, minority_share, density, base_lang``.
 
     The base language is settled by unambiguous words, a tie by the first of them; shared words then count for
     it.  A text without evidence has density and base language "" and counts 0.
+
+    The languages of the model's ``MOST_COMMON`` most frequent words are broadcast and counted where the text is; only other words are
+    shuffled, once for each text that they are in.  A text's sums, with its other words, are stored.
     """
     pair = model.pair
-    listed = rows.select("seq", F.posexplode(T.words(F.coalesce("text", F.lit("")), pair)).alias("pos", "word"))
-    grouped = listed.groupBy("seq", "word").agg(F.count("*").alias("c"), F.min("pos").alias("pos"))
-    lang = word_languages(grouped.select("word").distinct(), model)
-    tagged = grouped.join(lang, "word")
+    candidates = model.lexicon.select("word") if model.frequencies is None else model.frequencies.orderBy(F.desc("n"), "word").select("word")
+    common = word_languages(materialise(candidates.limit(MOST_COMMON), "common"), model).select("word", "lang").toArrow()
+    listed = rows.select("seq", T.words(F.coalesce("text", F.lit("")), pair).alias("w"))
+    schema = StructType([listed.schema["seq"], *(StructField(c, LongType()) for c in ("a", "b", "shared", "pos")), StructField("lang", StringType()), *(StructField(c, ArrayType(t)) for c, t in (("word", StringType()), ("c", LongType()), ("first", LongType())))])
+    counted = materialise(listed.mapInArrow(_counted(rows.sparkSession.sparkContext.broadcast(common), pair.a, pair.b), schema), "counted")
+    rare = counted.select("seq", F.explode(F.arrays_zip("word", "c", "first")).alias("_r")).select("seq", F.col("_r.word").alias("word"), F.col("_r.c").alias("c"), F.col("_r.first").alias("pos"))
+    lang = word_languages(rare.select("word").distinct(), model)
     code = F.col("lang")
-    sums = tagged.groupBy("seq").agg(
-        *(F.coalesce(F.sum(F.when(code == k, F.col("c"))), F.lit(0)).alias(n) for k, n in ((pair.a, "a"), (pair.b, "b"), ("shared", "shared"))),
-        F.min_by(F.when(code.isin(pair.a, pair.b), code), F.when(code.isin(pair.a, pair.b), F.col("pos"))).alias("opening"),
-    )
+    each = [F.when(code == k, F.col("c")).alias(n) for k, n in ((pair.a, "a"), (pair.b, "b"), ("shared", "shared"))]
+    tagged = rare.join(lang, "word").where(code.isin(pair.a, pair.b, "shared"))
+    opens = F.when(code.isin(pair.a, pair.b), F.struct("pos", "lang")).alias("opening")
+    parts = counted.select("seq", "a", "b", "shared", opens).unionByName(tagged.select("seq", *each, opens))
+    sums = parts.groupBy("seq").agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("a", "b", "shared")), F.min("opening").lang.alias("opening"))
     joined = rows.join(sums, "seq", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("a", "b", "shared")})
     return joined.withColumns(folded(pair)).drop("opening")
 

@@ -70,3 +70,16 @@ def test_fill_sheet(spark):
     measured = spark.createDataFrame([("1", "low", "kk"), ("2", "low", "kk"), ("3", "high", "kk")], "comment_id string, density string, base_lang string")
     got = {r.comment_id: (r.density, r.base_lang) for r in D.fill_sheet(sheet, measured).collect()}
     assert got == {"1": ("low", "kk"), "2": ("", ""), "3": ("high", "ru")}
+
+
+def test_common_and_other_words_count_alike(spark, monkeypatch):
+    rng = random.Random(2)
+    kk, ru = ["бұл", "өте", "жақсы", "қала", "үлкен", "мұнда"], ["это", "очень", "город", "большой", "что", "здесь"]
+    rows = [(i, " ".join(rng.choice(kk if i % 2 else ru) for _ in range(8))) for i in range(300)]
+    model = D.build_lexicon(spark.createDataFrame(rows, "seq long, text string"), min_documents=20, min_seeds=3)
+    mixed = [(i, " ".join(rng.choice(kk + ru + ["слово", "zz", "сөз"]) for _ in range(9))) for i in range(60)] + [(99, ""), (100, None), (7, "город қала")]
+    texts, found = spark.createDataFrame(mixed, "seq long, text string"), []
+    for most in (0, 4, 1000):
+        monkeypatch.setattr(D, "MOST_COMMON", most)
+        found.append(sorted(map(str, D.measure(texts, model).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(mixed)
