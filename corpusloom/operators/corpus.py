@@ -80,7 +80,10 @@ def dedup(rows: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN, copypasta: int =
 
 def screen_counts(text: Column, pair: LanguagePair = KAZAKH_RUSSIAN) -> Column:
     """struct(a, b): words that vote for each language; list b is asked before list a and its letters."""
-    voting = F.filter(T.tokenize(text, pair), lambda w: ~w.isin(*pair.screen_neutral))
+    return _votes(F.filter(T.tokenize(text, pair), lambda w: ~w.isin(*pair.screen_neutral)), pair)
+
+
+def _votes(voting: Column, pair: LanguagePair) -> Column:
     only_a = [w for w in pair.screen_a if w not in pair.screen_ambiguous]
     b = F.size(F.filter(voting, lambda w: w.isin(*pair.screen_b)))
     a = F.size(F.filter(voting, lambda w: ~w.isin(*pair.screen_b) & (w.isin(*only_a) | T.has_any(w, pair.letters_a))))
@@ -89,7 +92,8 @@ def screen_counts(text: Column, pair: LanguagePair = KAZAKH_RUSSIAN) -> Column:
 
 def screen(rows: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN) -> DataFrame:
     """``rows`` with ``screen_a, screen_b, screen_bucket``."""
-    out = rows.withColumn("_s", screen_counts(F.col("text"), pair))
+    voting = F.filter(T.tokenize(F.col("text"), pair), lambda w: ~w.isin(*pair.screen_neutral))
+    out = rows.withColumn("_v", voting).withColumn("_s", _votes(F.col("_v"), pair)).drop("_v")  # split once for both counts
     return out.withColumns({"screen_a": F.col("_s.a"), "screen_b": F.col("_s.b")}).withColumn("screen_bucket", T.density_bucket(F.col("screen_a"), F.col("screen_b"))).drop("_s")
 
 
@@ -135,7 +139,8 @@ def language_scores(rows: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN, key: s
     Distinct words are scored once and joined back; the words of the main script alone take part.
     """
     pattern = f"[{pair.main_class}]+"
-    listed = rows.select(key, F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.lower).alias("w"))
+    # Three steps read these; storing them spares two more passes of the patterns over the texts.
+    listed = materialise(rows.select(key, F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.lower).alias("w")), "words")
     counted = listed.select(key, F.explode("w").alias("word")).groupBy(key, "word").agg(F.count("*").alias("c"))
     scored = word_scores(counted.select("word").distinct(), pair)
     names = ["evidence", *(n.code for n in pair.neighbours)]
@@ -171,7 +176,9 @@ def corpus_outcomes(raw: DataFrame, pair: LanguagePair = KAZAKH_RUSSIAN, max_cha
     """
     own = ("comment_id", "source_file", "n_tokens", "screen_a", "screen_b", "screen_bucket")
     rows = screen(route(clean_text(raw), pair, max_chars), pair).withColumn("n_tokens", T.n_tokens(F.col("text"), pair))
-    done = materialise(outcomes(first_by(materialise(keyed(rows, pair, *own), "keys"), "comment_id")), "outcomes")
+    whole = materialise(keyed(rows, pair, *own), "keys")
+    firsts = materialise(first_by(whole, "comment_id"), "firsts")  # read three times
+    done = materialise(outcomes(firsts), "outcomes")
     kept = clean_text(raw.join(done.where(F.col("drop_reason").isNull()).select("seq"), "seq", "left_semi"))
     language = language_scores(kept, pair).withColumn("language", detect(pair)).select("seq", "language").where("language is not null")
     out = done.join(language, "seq", "left").withColumn("drop_reason", F.coalesce("drop_reason", F.concat(F.lit("other_language_"), "language")))

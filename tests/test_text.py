@@ -134,3 +134,11 @@ def test_texts_are_read_once_for_the_report(spark, tmp_path):
     for name in ("drop_report", "dedup_outcome", "corpus_outcome"):
         plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert plan.count(f"{tmp_path}/documents.parquet") <= 1, name  # the first pass is stored already
+
+
+def test_languages_are_scored_from_stored_words(spark):
+    from corpusloom.operators import corpus
+
+    rows = spark.createDataFrame([(1, "Бұл өте жақсы"), (2, "")], "seq long, text string")
+    got = corpus.language_scores(rows)
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString() and {r.seq: r.n for r in got.collect()} == {1: 3, 2: 0}
